@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_cnn, line_crf, tox_chain
+from . import lang_cnn, line_crf, line_runs, tox_chain
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_lang_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_cnn.identify(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,8 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tox_chain.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_crf, op9_lang_cnn, op10_toxicity_chain)}
+QUERIES = {f.__name__: f for f in (op3_quality_crf, op4_line_runs, op9_lang_cnn, op10_toxicity_chain)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_runs": line_runs.DIGEST_SQL,
+}
