@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_cnn, line_crf, line_runs, tox_chain
+from . import divergence, lang_cnn, line_crf, line_runs, tox_chain
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_lang_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_cnn.identify(table(spark, sf_dir, "documents"))
 
@@ -24,7 +28,7 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tox_chain.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_crf, op4_line_runs, op9_lang_cnn, op10_toxicity_chain)}
+QUERIES = {f.__name__: f for f in (op3_quality_crf, op4_line_runs, op5_divergence, op9_lang_cnn, op10_toxicity_chain)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_runs": line_runs.DIGEST_SQL,
