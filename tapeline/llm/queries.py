@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, lang_cnn, line_crf, line_runs, tox_chain
+from . import divergence, lang_cnn, line_crf, line_runs, packing, pfair, tox_chain
 from .common import table
 
 
+def vocabulary(path: str | None = None) -> bytes:
+    """The tokenizer file's bytes; by default the installed public byte-level vocabulary."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return Path(path).read_bytes()
+
+
+def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair.order(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -20,6 +35,10 @@ def op5_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op9_lang_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_cnn.identify(table(spark, sf_dir, "documents"))
 
@@ -28,7 +47,7 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tox_chain.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_crf, op4_line_runs, op5_divergence, op9_lang_cnn, op10_toxicity_chain)}
+QUERIES = {f.__name__: f for f in (op2_pfair_mix, op3_quality_crf, op4_line_runs, op5_divergence, op6_best_fit, op9_lang_cnn, op10_toxicity_chain)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_runs": line_runs.DIGEST_SQL,
