@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, lang_cnn, line_crf, line_runs, packing, pfair, tox_chain
+from . import divergence, divide_skip, lang_cnn, line_crf, line_runs, packing, pfair, tox_chain
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divide_skip.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op9_lang_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_cnn.identify(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tox_chain.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pfair_mix, op3_quality_crf, op4_line_runs, op5_divergence, op6_best_fit, op9_lang_cnn, op10_toxicity_chain)}
+QUERIES = {f.__name__: f for f in (op2_pfair_mix, op3_quality_crf, op4_line_runs, op5_divergence, op6_best_fit, op7_divide_skip, op9_lang_cnn, op10_toxicity_chain)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_runs": line_runs.DIGEST_SQL,
