@@ -5,8 +5,9 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import divergence, divide_skip, lang_cnn, line_crf, line_runs, packing, pfair, tox_chain
+from . import dim_scan, divergence, divide_skip, lang_cnn, line_crf, line_runs, packing, pfair, tox_chain
 from .common import table
 
 
@@ -19,6 +20,10 @@ def vocabulary(path: str | None = None) -> bytes:
     return Path(path).read_bytes()
 
 
+def op1_dim_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dim_scan.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.order(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tox_chain.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pfair_mix, op3_quality_crf, op4_line_runs, op5_divergence, op6_best_fit, op7_divide_skip, op9_lang_cnn, op10_toxicity_chain)}
+QUERIES = {f.__name__: f for f in (op1_dim_scan, op2_pfair_mix, op3_quality_crf, op4_line_runs, op5_divergence, op6_best_fit, op7_divide_skip, op9_lang_cnn, op10_toxicity_chain)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_runs": line_runs.DIGEST_SQL,
