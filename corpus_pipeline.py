@@ -1,11 +1,16 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Every stage works on all that the one before kept. Repeated rows stay repeated until the near-duplicate stage; rows
+with a null doc_id or without words pass all stages. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeline.llm import line_crf
+from tapeline.llm import divide_skip, line_crf, line_runs, packing, pfair
 from tapeline.llm.common import scratch_dir, store, table
+from tapeline.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +18,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_crf.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of 40 code points or more in five documents or more stay only in the largest doc_id."""
+    return line_runs.clean(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 on five-word shingles, the smallest doc_id stays."""
+    return divide_skip.one_of_each(docs, width=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of a Pfair mix of their sources."""
+    return pfair.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens in best-fit sequences."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
 
 #: Trained models and interleaves have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None

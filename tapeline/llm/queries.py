@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dim_scan, divergence, divide_skip, lang_cnn, line_crf, line_runs, packing, pfair, tox_chain
+from . import bwt_merge, dim_scan, divergence, divide_skip, lang_cnn, line_crf, line_runs, packing, pfair, tox_chain
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op7_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divide_skip.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op8_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_merge.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_lang_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_cnn.identify(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tox_chain.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_dim_scan, op2_pfair_mix, op3_quality_crf, op4_line_runs, op5_divergence, op6_best_fit, op7_divide_skip, op9_lang_cnn, op10_toxicity_chain)}
+QUERIES = {f.__name__: f for f in (op1_dim_scan, op2_pfair_mix, op3_quality_crf, op4_line_runs, op5_divergence, op6_best_fit, op7_divide_skip, op8_bwt_merge, op9_lang_cnn, op10_toxicity_chain)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_runs": line_runs.DIGEST_SQL,
