@@ -248,7 +248,7 @@ def _compare_by_hash(segments: DataFrame, window: int) -> DataFrame:
     windows = segments.mapInArrow(run, "h1 long, h2 long, ord long, th long, start long")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct(*ID, "start")).alias("first"), F.count("*").alias("m")).where(F.col("m") > 1).drop("m")
     salts = 16
-    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     both = windows.withColumn("salt", F.pmod(F.hash(*ID, "start"), F.lit(salts))).join(salted, ["h1", "h2", "salt"])
     return both.where(F.struct(*ID, "start") != F.col("first")).select(*ID, "start", F.lit(1).cast("long").alias("n"))
 

@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_do
     links = _links(docs, tasks, width, percent)
     found = components(links.unionByName(same_id))
     labeled = classes.join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    salted = labeled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = labeled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     dealt = rows.select("doc_id", "n_shingles", "d1", "d2").withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
     out = dealt.join(salted, ["d1", "d2", "n_shingles", "salt"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.col("doc_id")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
