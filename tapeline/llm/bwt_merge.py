@@ -112,9 +112,13 @@ def merge_transforms(segments: list[bytes], rounds: int, shard_bytes: int = 16_3
     for _ in range(rounds):
         order = np.argsort(merged, kind="stable")
         symbol, inherited = merged[order], block[order]
+        # Ends of segments are all alike and stay in the order of their shards.
+        ends = int(np.searchsorted(symbol, 1, side="right"))
+        inherited[:ends] = 0
         change = np.concatenate(([False], (symbol[1:] != symbol[:-1]) | (inherited[1:] != inherited[:-1])))
         block = np.cumsum(change, dtype=np.int32)
         source = source[order]
+        source[:ends].sort()
         merged = np.empty_like(joined)
         merged[np.argsort(source, kind="stable")] = joined
     back = np.empty(len(joined), dtype=np.int64)
