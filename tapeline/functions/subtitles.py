@@ -78,8 +78,8 @@ def cues(files: DataFrame, body: str = "body") -> DataFrame:
     lines = blocks.withColumn("_lines", F.split("_block", r"\r?\n"))
     at = F.array_position(F.transform("_lines", lambda x: F.contains(x, F.lit("-->"))), True).cast("int")
     timed = lines.withColumn("_at", at).where(F.col("_at") > 0)
-    sides = F.split(F.element_at("_lines", F.col("_at")), "-->")
-    out = timed.withColumns({"cue_start": seconds(strip(F.get(sides, 0))), "cue_end": seconds(strip(F.get(sides, 1))), "lines": F.slice("_lines", F.col("_at") + 1, F.greatest(F.size("_lines") - F.col("_at"), F.lit(0)))})
+    sides = F.split(F.get("_lines", F.col("_at") - 1), "-->")
+    out = timed.withColumns({"cue_start": seconds(strip(F.get(sides, 0))), "cue_end": seconds(strip(F.get(sides, 1))), "lines": F.slice("_lines", F.greatest(F.col("_at"), F.lit(0)) + 1, F.greatest(F.size("_lines") - F.col("_at"), F.lit(0)))})
     return out.where(F.col("cue_start").isNotNull() & F.col("cue_end").isNotNull()).drop("_block", "_lines", "_at")
 
 

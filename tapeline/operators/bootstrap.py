@@ -29,11 +29,11 @@ def draw(seed: int, rep: Column, slot: Column, k: Column, stream: int = 0) -> Co
 def replicates(buckets: DataFrame, keys: list[str], order: list[str], n_boot: int, seed: int, stream: int = 0) -> DataFrame:
     """keys, rep and summed counts of each replicate."""
     numbered = buckets.withColumn("slot", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
-    sizes = buckets.groupBy(*keys).agg(F.count("*").alias("k"))
+    sizes = buckets.groupBy(*keys).agg(F.count("*").alias("_size"))
     reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))))
     # A replicate's draws are counted per utterance first, so each utterance meets a replicate once.
-    slots = reps.select(*keys, "rep", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
-    drawn = slots.withColumn("slot", draw(seed, F.col("rep"), F.col("i"), F.col("k"), stream)).groupBy(*keys, "rep", "slot").agg(F.count("*").alias("times"))
+    slots = reps.select(*keys, "rep", "_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)).alias("_i"))
+    drawn = slots.withColumn("slot", draw(seed, F.col("rep"), F.col("_i"), F.col("_size"), stream)).groupBy(*keys, "rep", "slot").agg(F.count("*").alias("times"))
     return drawn.join(numbered, [*keys, "slot"]).groupBy(*keys, "rep").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in COUNTS))
 
 
