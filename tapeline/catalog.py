@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import normalize, numbers, punctuation, subtitles, text
-from .operators import alignment, bootstrap, clean, metrics, pairing, reports, sentences
+from .operators import alignment, bootstrap, clean, metrics, pairing, reports, sentences, translation
 from .sources import writers
 from .streaming import context
 
@@ -133,6 +133,11 @@ def pair_totals(spark, sf_dir):
     return out.select("conv_id", "turn", *alignment.counts(F.col("ops")), _long(alignment.token_distance(F.col("r"), F.col("h")), "distance"))
 
 
+@query()
+def translation_scores(spark, sf_dir):
+    return translation.translation_scores(turn_pairs(spark, sf_dir))
+
+
 @query()
 def utterance_buckets(spark, sf_dir):
     pairs = metrics.score_pairs(turn_pairs(spark, sf_dir).withColumn("ref", F.regexp_replace("ref", r"([.?!]) ", "$1\n")))

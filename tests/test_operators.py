@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeline.functions import normalize
-from tapeline.operators import alignment, bootstrap, clean, metrics, pairing, reports, sentences
+from tapeline.operators import alignment, bootstrap, clean, metrics, pairing, reports, sentences, translation
 from tapeline.schema import SEGMENT
 
 
@@ -227,6 +227,18 @@ def test_reports(spark):
     assert reports.console(files.limit(1), {"k": "%s", "audio_s": "%.1f"}).first().line == "s 10.0"
 
 
+def test_translation_scores(spark):
+    assert translation.bleu(translation.statistics("the cat sat on the mat", "the cat sat on the mat")) == pytest.approx(100)
+    assert translation.chrf(translation.statistics("the cat", "the cat")) == pytest.approx(100)
+    assert translation.bleu(translation.statistics("a b c d", "")) == 0.0 and translation.chrf(translation.statistics("ab", "xy")) == 0.0
+    near, far = (translation.statistics("the cat sat on the mat", h) for h in ("the cat sat on a mat", "dogs bark at night here now"))
+    assert 100 > translation.bleu(near) > translation.bleu(far) and 100 > translation.chrf(near) > translation.chrf(far)
+    df = spark.createDataFrame([("the cat sat on the mat", "the cat sat on the mat"), (" ", "x")], "ref string, hyp string")
+    row = translation.translation_scores(df).first()
+    assert row.n == 1 and row.bleu == pytest.approx(100)
+    assert translation.translation_scores(df.limit(0)).first().n == 0
+
+
 def test_jaccard(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], [])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(metrics.token_jaccard(F.col("a"), F.col("b"))).collect()] == [1 / 3, 0.0]
