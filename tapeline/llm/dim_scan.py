@@ -11,7 +11,8 @@ largest norm. In that space
    bound: a test whose error probability falls exponentially in epsilon squared.
 4. Survivors are scored on the original vectors in double precision and ranked.
 
-A list is dealt over chunks of chunk_vectors, so a list that holds a third of all vectors is many tasks. Lists, radii
+A list is dealt over chunks of chunk_vectors, so a list that holds a third of all vectors is many tasks; the queries of
+a chunk are dealt over blocks of query_block. Lists, radii
 and centroids are bounded by max_lists. When fewer than k candidates lie on the probed lists, a query probes on until
 they hold more than k, so small tables are searched whole.
 
@@ -92,7 +93,7 @@ def scan(q: np.ndarray, blocks: list[np.ndarray], bound: float, epsilon: float)
     return np.arange(len(blocks[0])) if alive is None else alive
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", train_vectors: int = 20_000, max_lists: int = 4096, chunk_vectors: int = 4096, probe_share: float = 0.8, min_lists: int = 16, epsilon: float = 2.1, seed: int = 5) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", train_vectors: int = 20_000, max_lists: int = 4096, chunk_vectors: int = 4096, query_block: int = 20_000, probe_share: float = 0.8, min_lists: int = 16, epsilon: float = 2.1, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score of each query's nearest. is_query: a condition on vec_id."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -170,7 +171,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         return run
 
     def scanned(probes: DataFrame) -> DataFrame:
-        """The k best of each (query, chunk): queries and chunk vectors meet in one group."""
+        """The k best of each (query, chunk): queries and chunk vectors meet in one group.
+
+        Queries of a chunk are dealt over blocks too, as many as their count asks for, so a group is bounded on both sides.
+        """
+        asked = {r.list: -(-r.n // query_block) for r in probes.groupBy("list", "chunk").agg(F.count("*").alias("n")).groupBy("list").agg(F.max("n").alias("n")).collect()}
+        crowded = {one: m for one, m in asked.items() if m > 1}
+        blocks_of = F.expr("CASE " + " ".join(f"WHEN list = {one} THEN {m}" for one, m in crowded.items()) + " ELSE 1 END") if crowded else F.lit(1)
+        probes = probes.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks_of).cast("int"))
+        vectors_by_block = dealt.select("list", "chunk", "vec_id", "v", F.explode(F.sequence(F.lit(0), blocks_of - 1)).alias("block"))
         def run(key, queries, rows):
             names = ["query_id", "vec_id", "score"]
             out = {n: [] for n in names}
@@ -192,8 +201,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                     out["score"] += score[best].tolist()
             return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-        left = probes.groupBy("list", "chunk")
-        return left.cogroup(dealt.select("list", "chunk", "vec_id", "v").groupBy("list", "chunk")).applyInArrow(run, "query_id long, vec_id long, score double")
+        left = probes.groupBy("list", "chunk", "block")
+        return left.cogroup(vectors_by_block.groupBy("list", "chunk", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
 
     def best(rows: DataFrame) -> DataFrame:
         order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

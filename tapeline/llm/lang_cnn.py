@@ -158,20 +158,20 @@ def predict_texts(model: dict, texts: list[bytes]) -> tuple[list[str], np.ndarra
     return names.tolist(), np.clip(score, 0, 1)
 
 
-def fit(docs: DataFrame, max_per_lang: int = 300, windows_per_doc: int = 4, folds: int = 4, held_out_fold: int = 2) -> dict:
+def fit(docs: DataFrame, max_per_lang: int = 300, windows_per_doc: int = 4, max_langs: int = 200, folds: int = 4, held_out_fold: int = 2) -> dict:
     """Learn from text and language of rows outside the held-out fold.
 
-    The sample: for each language the max_per_lang documents first in the order of a hash of their id, and
+    The sample: for each of the max_langs most frequent languages the max_per_lang documents first in the order of a hash of their id, and
     windows_per_doc windows of each at places drawn from that hash.
     """
     from pyspark.sql import Window as W
 
     taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", folds) != held_out_fold) & F.col("doc_id").isNotNull())
-    counted = {r.lang: r["count"] for r in taught.groupBy("lang").count().collect()}
+    counted = {r.lang: r["count"] for r in taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not counted:
         return {"langs": []}
     # A hash threshold per language leaves about three times the rows wanted, so that no large group is ranked.
-    share = F.lit(1.0)
+    share = F.lit(0.0)
     for lang, n in counted.items():
         share = F.when(F.col("lang") == lang, min(1.0, 3 * max_per_lang / n)).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))

@@ -132,7 +132,7 @@ def test_dim_scan(spark):
     stored = [(r.vec_id, r.embedding) for r in table.collect()]
     want = brute_nearest(stored, 20)
     got = {}
-    for r in sorted(dim_scan.search(table, F.col("vec_id") % 20 == 0, chunk_vectors=100).collect(), key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(dim_scan.search(table, F.col("vec_id") % 20 == 0, chunk_vectors=100, query_block=10).collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
     assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) > 0.9
