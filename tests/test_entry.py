@@ -2,11 +2,12 @@
 
 import subprocess
 import sys
-
-from conftest import ROOT
+from pathlib import Path
 
 import __spark_entry__
 
+ROOT = Path(__spark_entry__.__file__).resolve().parent
+
 
 def test_registry(spark):
     names = __spark_entry__.queries()
