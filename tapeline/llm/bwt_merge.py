@@ -1,17 +1,17 @@
 """Suffix-array dedup: every byte under a window-long string that also starts earlier in the corpus goes.
 
 A global suffix array isn't built. Windows are first routed so that equal ones meet:
-1. Each window (window bytes) belongs to its smallest 16-byte gram, by hash, the leftmost of ties (winnowing). Equal
+1. Each window (window bytes) belongs to its smallest 32-byte gram, by hash, the leftmost of ties (winnowing). Equal
    windows belong to equal grams at the same place, so they meet under the gram's key. Consecutive windows of one gram
-   are one run, one row of the shuffle: about one row for each 43 bytes.
+   are one run, one row of the shuffle: about one row for each 35 bytes.
 2. Runs under a key with the same bytes are copies: all but the first go whole. Keys with one distinct run are done.
 3. What is left, keys with several distinct runs, are the places where repeats begin or end. There the run's bytes (a
    segment) are fetched, once for each distinct run, and windows are compared exactly by merging Burrows-Wheeler
    transforms: segments are dealt over shards, each shard's suffixes are sorted and its transform taken, and the
    interleave of all shards is refined round by round. Round h orders all suffixes by h bytes by stably sorting the
-   transforms' bytes in the present interleave, without touching a suffix; block numbers carried along mark where
-   common prefixes end. After `window` rounds a block of two or more suffixes is a repeated interval, and all but its
-   earliest suffix start a removed window.
+   transforms' bytes in the present interleave, without comparing suffixes again; block numbers carried along mark
+   where common prefixes end, and suffixes that are told apart leave. After `window` rounds a block of two or more
+   suffixes is a repeated interval, and all but its earliest suffix start a removed window.
    Keys with more than max_runs distinct runs would be too much for one task; their windows are compared by 128-bit
    hashes in a distributed aggregation instead.
 
@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, store, text_slices
+from .common import free_shuffles, scratch_dir, store, text_slices
 from .textbytes import SpanHash, pack
 
 _U = np.uint64
-GRAM = 16
+GRAM = 32
 _PLACE_BITS = 31
 ID = ["ord", "th"]
 RUN_SCHEMA = "key long, seg long, ord long, th long, start int, off int, n int"
@@ -75,65 +75,79 @@ def runs_of(texts: list[bytes], window: int):
     return of, s - starts[of], n, gram_at[first] - s, grams[gram_at[first]], SpanHash(buf, salt=1).of(s, s + n - 1 + window)
 
 
-def merge_transforms(segments: list[bytes], rounds: int, shard_bytes: int = 16_384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All suffixes of all segments in the order of their first `rounds` bytes: segment, start, and block of each.
+def shard_transform(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array of some segments as segment and start of each suffix, their transform, and its step back.
 
-    Suffixes of one block agree on `rounds` bytes, or end alike before that.
+    The transform has the byte before each suffix (1 where a segment begins); the step back leads to the row of the
+    suffix that is longer by that byte.
+    """
+    lengths = np.array([len(s) for s in segments])
+    width = int(lengths.max()) + 1
+    # Bytes move up by two: 0 fills up, 1 ends a segment.
+    rows = np.zeros((len(segments), 2 * width), dtype=np.uint8)
+    for r, segment in enumerate(segments):
+        rows[r, : lengths[r]] = np.frombuffer(segment, dtype=np.uint8) + 2
+        rows[r, lengths[r]] = 1
+    which = np.repeat(np.arange(len(segments)), lengths + 1)
+    base = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+    start = np.arange(len(which)) - base[which]
+    suffix = np.lib.stride_tricks.sliding_window_view(rows, width, axis=1)[which, start]
+    order = np.argsort(suffix.view(f"S{width}").ravel(), kind="stable")
+    row_of = np.empty(len(order), dtype=np.int64)
+    row_of[order] = np.arange(len(order))
+    which, start = which[order], start[order]
+    before = np.where(start == 0, np.uint8(1), rows[which, np.maximum(start - 1, 0)])
+    return which, start, before, row_of[np.maximum(order - 1, 0)]
+
+
+def merge_transforms(segments: list[bytes], rounds: int, shard_bytes: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes that share their first `rounds` bytes with another: segment, start, and block (equal where they agree).
+
+    Rows of all shards are interleaved. Round h has the rows in the order of their first h bytes, with numbers of
+    blocks that agree on them; the next one steps every row back and sorts stably by the byte stepped over, so no
+    suffix is compared again. A row alone in its block is resolved, and so is every row before it: both leave the
+    interleave, as do suffixes shorter than h.
     """
     shards, size = [[]], 0
     for i, segment in enumerate(segments):
-        if size > shard_bytes and len(shards) < 255:
+        if size > shard_bytes:
             shards.append([])
             size = 0
         shards[-1].append(i)
         size += len(segment) + 1
-    width = max(len(s) for s in segments) + 1
-    transforms, owners, places = [], [], []
+    owners, places, befores, steps, n = [], [], [], [], 0
     for shard in shards:
-        # Bytes move up by two: 0 fills up, 1 ends a segment.
-        rows = np.zeros((len(shard), 2 * width), dtype=np.uint8)
-        lengths = np.array([len(segments[i]) for i in shard])
-        for r, i in enumerate(shard):
-            rows[r, : lengths[r]] = np.frombuffer(segments[i], dtype=np.uint8) + 2
-            rows[r, lengths[r]] = 1
-        which = np.repeat(np.arange(len(shard)), lengths + 1)
-        start = np.concatenate([np.arange(n + 1) for n in lengths])
-        suffix = np.lib.stride_tricks.sliding_window_view(rows, width, axis=1)[which, start]
-        order = np.argsort(np.ascontiguousarray(suffix).view(f"S{width}").ravel(), kind="stable")
-        which, start = which[order], start[order]
-        before = rows[which, np.maximum(start - 1, 0)]
-        transforms.append(np.where(start == 0, np.uint8(1), before))
+        which, start, before, back = shard_transform([segments[i] for i in shard])
         owners.append(np.array(shard)[which])
         places.append(start)
-    joined = np.concatenate(transforms)
-    source = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(t) for t in transforms])
-    block = np.zeros(len(joined), dtype=np.int32)
-    merged = joined.copy()  # round 0: shard after shard, all suffixes in one block
+        befores.append(before)
+        steps.append(back + n)
+        n += len(back)
+    owner, place, transform, step = (np.concatenate(x) for x in (owners, places, befores, steps))
+    step = step.astype(np.int32)
+    row = np.arange(n, dtype=np.int32)
+    block = np.zeros(n, dtype=np.int32)
     for _ in range(rounds):
-        order = np.argsort(merged, kind="stable")
-        symbol, inherited = merged[order], block[order]
-        # Ends of segments are all alike and stay in the order of their shards.
-        ends = int(np.searchsorted(symbol, 1, side="right"))
-        inherited[:ends] = 0
-        change = np.concatenate(([False], (symbol[1:] != symbol[:-1]) | (inherited[1:] != inherited[:-1])))
-        block = np.cumsum(change, dtype=np.int32)
-        source = source[order]
-        source[:ends].sort()
-        merged = np.empty_like(joined)
-        merged[np.argsort(source, kind="stable")] = joined
-    back = np.empty(len(joined), dtype=np.int64)
-    back[np.argsort(source, kind="stable")] = np.arange(len(joined))
-    return np.concatenate(owners)[back], np.concatenate(places)[back], block
+        symbol = transform[row]
+        inner = symbol != 1
+        if not inner.all():
+            row, block, symbol = row[inner], block[inner], symbol[inner]
+        order = np.argsort(symbol, kind="stable")
+        symbol, block, row = symbol[order], block[order], step[row[order]]
+        change = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        edge = np.concatenate(([True], change, [True]))
+        alone = edge[1:] & edge[:-1]
+        block = np.cumsum(edge[:-1], dtype=np.int32)
+        if alone.any():
+            row, block = row[~alone], block[~alone]
+        if not len(row):
+            break
+    return owner[row], place[row], block
 
 
 def later_windows(segments: list[bytes], ids: np.ndarray, window: int) -> np.ndarray:
     """Rows (segment, start) of windows that equal one with a smaller id. ids: ord, th and start of each segment."""
     owner, place, block = merge_transforms(segments, window)
-    lengths = np.array([len(s) for s in segments])
-    whole = place + window <= lengths[owner]
-    owner, place, block = owner[whole], place[whole], block[whole]
-    many = np.bincount(block, minlength=1)[block] > 1
-    owner, place, block = owner[many], place[many], block[many]
     if not len(owner):
         return np.zeros((0, 2), dtype=np.int64)
     at = ids[owner, 2] + place
@@ -257,18 +271,22 @@ def _compare_by_hash(segments: DataFrame, window: int) -> DataFrame:
     return both.where(F.struct(*ID, "start") != F.col("first")).select(*ID, "start", F.lit(1).cast("long").alias("n"))
 
 
-def repeats(docs: DataFrame, window: int = 100, max_runs: int = 4000, batch_bytes: int = 500_000) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 100, max_runs: int = 4000, batch_bytes: int = 50_000) -> DataFrame:
     """ord, th, start and n: runs of n removed windows of the documents."""
     place = scratch_dir(docs.sparkSession)
     keyed = _keyed(docs)
     order = ["key", "seg", "off", "n", "ord", "th", "start"]
     sifted = store(_runs(keyed, window).repartition("key").sortWithinPartitions(*order).mapInArrow(_sift, "kind int, key long, ord long, th long, start long, off long, n long"), f"{place}/sifted")
+    free_shuffles(docs.sparkSession)
     copies = sifted.where(F.col("kind") == 0).select(*ID, "start", "n")
     edges = sifted.where(F.col("kind") == 1)
     crowded = edges.groupBy("key").agg(F.count("*").alias("runs")).where(F.col("runs") > max_runs).select("key", F.lit(True).alias("crowded"))
     segments = store(_segments(keyed, edges, window).join(crowded, "key", "left"), f"{place}/segments")
+    free_shuffles(docs.sparkSession)
     few, many = segments.where(F.col("crowded").isNull()).drop("crowded"), segments.where(F.col("crowded")).drop("crowded")
     found = _compare(few, window, batch_bytes).unionByName(_compare_by_hash(many, window))
+    found = store(found, f"{place}/found")
+    free_shuffles(docs.sparkSession)
     return copies.unionByName(found)
 
 

@@ -149,15 +149,19 @@ def test_bwt_merge(docs, rows, empty):
     assert bwt_merge.dedup(empty).count() == 0
 
 
-def test_merge_transforms_orders_suffixes():
+def test_merge_transforms_finds_repeated_intervals():
     rng = np.random.default_rng(2)
-    segments = [bytes(rng.integers(97, 99, rng.integers(1, 60), dtype=np.uint8)) for _ in range(40)]
-    owner, place, block = bwt_merge.merge_transforms(segments, 12, shard_bytes=50)
-    heads = [segments[o][p : p + 12] for o, p in zip(owner, place, strict=True)]
-    assert heads == sorted(heads)
-    assert len({(o, p) for o, p in zip(owner.tolist(), place.tolist(), strict=True)}) == sum(len(s) + 1 for s in segments)
-    for k in range(1, len(heads)):
-        assert (block[k] == block[k - 1]) == (heads[k] == heads[k - 1])
+    for rounds in (1, 5, 9):
+        segments = [bytes(rng.integers(97, 99, rng.integers(1, 60), dtype=np.uint8)) for _ in range(40)]
+        owner, place, block = bwt_merge.merge_transforms(segments, rounds, shard_bytes=50)
+        groups = defaultdict(set)
+        for o, p, b in zip(owner.tolist(), place.tolist(), block.tolist(), strict=True):
+            groups[b].add((o, p))
+        want = defaultdict(set)
+        for o, s in enumerate(segments):
+            for p in range(len(s) - rounds + 1):
+                want[s[p : p + rounds]].add((o, p))
+        assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
 def test_best_fit(docs, rows, empty):
@@ -249,3 +253,49 @@ def test_components(spark):
                 components.unite(parent, a, b)
         got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
         assert got == {x: components.find(parent, x) for x in list(parent)}
+
+
+def _cut_up(table, rng):
+    at = 0
+    while at < table.num_rows:
+        n = int(rng.integers(0, 4))
+        yield from table.slice(at, n).combine_chunks().to_batches()
+        at += n
+
+
+def test_streams_are_the_same_in_any_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    names = ["key", "seg", "off", "n", "ord", "th", "start"]
+    for _ in range(60):
+        x = rng.integers(0, 3, (int(rng.integers(1, 40)), 7))
+        x = x[np.lexsort(x.T[::-1])]
+        table = pa.table({c: pa.array(x[:, k]) for k, c in enumerate(names)})
+        want = Counter()
+        for key in set(x[:, 0].tolist()):
+            of_key = [tuple(r) for r in x[x[:, 0] == key].tolist()]
+            runs = {}
+            for r in of_key:
+                first = runs.setdefault(r[:4], r)
+                if r[4:] != first[4:]:
+                    want[0, *r[4:]] += 1
+            if len(runs) > 1:
+                for r in runs.values():
+                    want[1, *r[4:]] += 1
+        got = Counter()
+        for batch in bwt_merge._sift(_cut_up(table, rng)):
+            for r in batch.to_pylist():
+                got[r["kind"], r["ord"], r["th"], r["start"]] += 1
+        assert got == want
+        parent, other = {}, {}
+        for batch in components.forest(_cut_up(table, rng), "key", "ord"):
+            for r in batch.to_pylist():
+                components.unite(parent, r["a"], r["b"])
+        for key in set(x[:, 0].tolist()):
+            members = x[x[:, 0] == key][:, 4].tolist()
+            for m in members[1:]:
+                components.unite(other, members[0], m)
+        for a in range(3):
+            for b in range(3):
+                assert (components.find(parent, a) == components.find(parent, b)) == (components.find(other, a) == components.find(other, b))
