@@ -132,6 +132,8 @@ def merge_transforms(segments: list[bytes], rounds: int, shard_bytes: int = 4096
         inner = symbol != 1
         if not inner.all():
             row, block, symbol = row[inner], block[inner], symbol[inner]
+        if not len(row):
+            break
         order = np.argsort(symbol, kind="stable")
         symbol, block, row = symbol[order], block[order], step[row[order]]
         change = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
@@ -140,8 +142,6 @@ def merge_transforms(segments: list[bytes], rounds: int, shard_bytes: int = 4096
         block = np.cumsum(edge[:-1], dtype=np.int32)
         if alone.any():
             row, block = row[~alone], block[~alone]
-        if not len(row):
-            break
     return owner[row], place[row], block
 
 
