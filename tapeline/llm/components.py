@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, store
+from .common import discard, scratch_dir, store
 
 
 def find(parent: dict, x):
@@ -38,29 +38,42 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     place = scratch_dir(spark)
+    old: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        old.append(f"{place}/{name}")
+        return store(df, old[-1])
+
+    def clear(but: str) -> None:
+        for path in old:
+            if path != f"{place}/{but}":
+                discard(spark, path)
+        old[:] = [f"{place}/{but}"]
+
     flat = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    live = store(flat, f"{place}/edges0")
+    live = kept(flat, "edges0")
     labels = live.select(F.col("a").alias("node")).union(live.select("b")).distinct().withColumn("component", F.col("node"))
-    labels = store(labels, f"{place}/labels0")
+    labels = kept(labels, "labels0")
     for k in range(1, max_rounds + 1):
         if live.isEmpty():
+            clear(f"labels{k - 1}")
             return labels
         # Hook: b takes the smallest a. Only the larger end hooks, so there are no cycles.
-        hooks = store(live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), f"{place}/hooks{k}")
+        hooks = kept(live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), f"hooks{k}")
         for step in range(max_rounds):
             top = hooks.select(F.col("node").alias("up"), F.col("up").alias("higher"))
             jumped = hooks.join(top, "up", "left")
-            moved = store(jumped.select("node", F.coalesce("higher", "up").alias("up"), F.col("higher").isNotNull().alias("moved")), f"{place}/hooks{k}_{step}")
+            moved = kept(jumped.select("node", F.coalesce("higher", "up").alias("up"), F.col("higher").isNotNull().alias("moved")), f"hooks{k}_{step}")
             hooks = moved.select("node", "up")
             if moved.where("moved").isEmpty():
                 break
         roots = hooks.select(F.col("node").alias("root"), "up")
-        labels = store(labels.join(roots, labels["component"] == roots["root"], "left").select("node", F.coalesce("up", "component").alias("component")), f"{place}/labels{k}")
+        labels = kept(labels.join(roots, labels["component"] == roots["root"], "left").select("node", F.coalesce("up", "component").alias("component")), f"labels{k}")
         at_a = roots.select(F.col("root").alias("a"), F.col("up").alias("up_a"))
         at_b = roots.select(F.col("root").alias("b"), F.col("up").alias("up_b"))
         new = live.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("up_a", "a").alias("x"), F.coalesce("up_b", "b").alias("y"))
         new = new.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        live = store(new, f"{place}/edges{k}")
+        live = kept(new, f"edges{k}")
     raise RuntimeError("components did not settle")
 
 

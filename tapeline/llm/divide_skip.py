@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, store, text_slices
+from .common import discard, free_shuffles, scratch_dir, store, text_slices
 from .components import components, find, forest, unite
 from .textbytes import SpanHash, mix, pack, word_bounds
 
 _U = np.uint64
 SALTS = 16
+#: Rows of three numbers that may be broadcast: some 10 MB.
+BROADCAST_ROWS = 250_000
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -175,9 +177,9 @@ def _sets_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
 
 
-def _candidate_components(reps: DataFrame) -> DataFrame:
+def _candidate_components(rows: DataFrame) -> DataFrame:
     """Documents that share a routing key with another, with their candidate component."""
-    postings = reps.select(F.explode("keys").alias("key"), "doc_id")
+    postings = rows.select(F.explode("keys").alias("key"), "doc_id")
     sorted_runs = postings.repartition("key").sortWithinPartitions("key", "doc_id")
     edges = sorted_runs.mapInArrow(lambda batches: forest(batches, "key", "doc_id"), "a long, b long")
     return components(edges)
@@ -207,7 +209,13 @@ def _tasks(members: DataFrame, percent: int, block_docs: int) -> DataFrame:
 
 
 def _links(docs: DataFrame, tasks: DataFrame, width: int, percent: int) -> DataFrame:
-    """Search every task: its sets, made anew from the texts, arrive together and are held one task at a time."""
+    """Search every task: its sets, made anew from the texts, arrive together and are held one task at a time.
+
+    Texts stay where they are when the tasks' rows are few enough to broadcast, which is counted first; else both sides
+    are shuffled by doc_id.
+    """
+    if tasks.count() <= BROADCAST_ROWS:
+        tasks = F.broadcast(tasks)
     schema = "task long, doc_id long, side int, shingles binary"
 
     def to_sets(batches):
@@ -245,9 +253,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_do
     rows = store(_sets_table(docs, width, percent), f"{place}/sets")
     whole = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = store(whole.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), f"{place}/classes")
-    # A representative's keys come from any row of its class with that doc_id; copies of it are dropped by the join.
+    # Copies send out no keys: only a class's representative does.
     reps = whole.join(classes.select("d1", "d2", "n_shingles", F.col("rep").alias("doc_id")), ["d1", "d2", "n_shingles", "doc_id"], "left_semi").select("doc_id", "n_shingles", "keys")
     candidates = _candidate_components(reps)
+    free_shuffles(spark)
     members = candidates.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), F.col("node") == F.col("rep")).select(F.col("node").alias("doc_id"), "component", "n_shingles")
     tasks = store(_tasks(members, percent, block_docs), f"{place}/tasks")
     # Rows of one doc_id with several texts link their classes.
@@ -256,11 +265,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_do
     same_id = held.join(held.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))
     links = _links(docs, tasks, width, percent)
     found = components(links.unionByName(same_id))
+    free_shuffles(spark)
     labeled = classes.join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     salted = labeled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     dealt = rows.select("doc_id", "n_shingles", "d1", "d2").withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
     out = dealt.join(salted, ["d1", "d2", "n_shingles", "salt"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.col("doc_id")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.col("doc_id")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = store(out, scratch_dir(spark))
+    discard(spark, place)
+    return out
 
 
 def one_of_each(docs: DataFrame, **rule) -> DataFrame:
