@@ -148,7 +148,10 @@ def train(sample: list[tuple[bytes, int]], totals: dict[int, int] | None = None,
     y = np.array([label for _, label in sample])
     if len(set(y.tolist())) < 2:
         return {"constant": float(y.mean()) if len(y) else 1.0}
-    features, length, first_line = line_features([t for t, _ in sample])
+    # A part at a time: the features' making takes many times the size of the texts.
+    parts = [line_features([t for t, _ in sample[k : k + 100]]) for k in range(0, len(sample), 100)]
+    features, length = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    first_line = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
     mean, scale = features.mean(0), features.std(0) + 1e-3
     x = (features - mean) / scale
     line_y = np.repeat(y, np.diff(first_line))
@@ -203,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 1000, train_cha
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id and score of every row, in one pass without a shuffle. A null doc_id stays null."""
     def run(batches):
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, limit=1_000_000):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score_texts(model, texts), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -219,7 +222,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     model = fit(docs, labels)
 
     def run(batches):
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, limit=1_000_000):
             yield part.filter(pa.array(score_texts(model, texts) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -29,18 +29,15 @@ IS_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, dtype=_U), "down": np.ones(1, dtype=_U)}
-
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n."""
-    if len(_powers["up"]) < n:
-        size = max(n, 1 << 16)
-        for key, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            steps = np.full(size, base, dtype=_U)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+    """base**i and base**-i modulo 2**64 for i below n. Not kept: module state would travel with pickled functions."""
+    out = []
+    for base in (_BASE, _BASE_INVERSE):
+        steps = np.full(n, base, dtype=_U)
+        steps[:1] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
 
 
 def pack(texts: list[bytes], fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
