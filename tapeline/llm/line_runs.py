@@ -126,7 +126,7 @@ def dropped_places(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batc
     common = store(index.totals().where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc"), f"{place}/common")
     index.close()
     # A key may be on a third of all lines: its lines are dealt over salts, and its one row is copied to each.
-    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     lines = intake.withColumn("salt", F.pmod(F.hash("doc_id", "place"), F.lit(SALTS)))
     gone = lines.join(salted, [*KEY, "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("places"))
