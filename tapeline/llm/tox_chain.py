@@ -12,8 +12,8 @@ the number of distinct marked terms (terms seen in toxic and hardly in clean tra
 Each model is a logistic regression on the presence of hashed terms: whole words (letters only, without case)
 and word beginnings of four and five bytes.
 
-The sample is bounded by max_per_class and train_chars; scoring reads whole texts. Null and empty texts hold no
-term. Repeated rows are scored alike; extra columns aren't read; an empty table gives an empty result. Without
+The sample is bounded by max_per_class and train_chars; scoring reads whole texts. Texts without any term that the
+models know, null and empty ones among them, get probability 0. Repeated rows are scored alike; extra columns aren't read; an empty table gives an empty result. Without
 labelled rows of both classes every probability is the share of label 1 (0 without any).
 """
 
@@ -92,8 +92,11 @@ def train(sample: list[tuple[bytes, int]], folds: int = 3, seed: int = 11) -> di
     toxic = np.array([label for _, label in sample], dtype=np.int64)
     if len(set(toxic.tolist())) < 2:
         return {"constant": float(toxic.mean()) if len(toxic) else 0.0}
-    terms, doc = terms_of([t for t, _ in sample])
-    once = np.unique(doc * (1 << BITS) + terms)
+    found = []
+    for first in range(0, len(sample), 200):  # a part at a time: the hashes of a buffer take many times its size
+        terms, doc = terms_of([t for t, _ in sample[first : first + 200]])
+        found.append(np.unique((doc + first) * (1 << BITS) + terms))
+    once = np.concatenate(found)
     doc, terms = once >> BITS, once & ((1 << BITS) - 1)
     by_class = [np.bincount(terms[toxic[doc] == c], minlength=1 << BITS) for c in (0, 1)]
     rates = [(by_class[c] + 0.5) / ((toxic == c).sum() + 1) for c in (0, 1)]
@@ -127,12 +130,13 @@ def score_texts(model: dict, texts: list[bytes]) -> np.ndarray:
     if "constant" in model:
         return np.full((len(texts), len(CATEGORIES)), model["constant"])
     x = presence(model["columns"], texts, model["width"])
+    known = x.any(axis=1)
     for theta in model["chain"]:
         x = np.hstack((x, _predict(theta, x)[:, None]))
-    return x[:, model["width"] :].astype(np.float64)
+    return np.where(known[:, None], x[:, model["width"] :], 0).astype(np.float64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 2000, train_chars: int = 10_000, folds: int = 5, held_out_fold: int = 0) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 1500, train_chars: int = 8_000, folds: int = 5, held_out_fold: int = 0) -> dict:
     open_rows = labels.where(fold_of("doc_id", folds) != held_out_fold)
     return train(labelled_sample(docs, open_rows, "toxic", max_per_class, train_chars)[0])
 
