@@ -1,15 +1,15 @@
 """Mixing sources to target weights: Pfair scheduling of blocks.
 
-Documents of a source, in the order of a hash of their id, form blocks of block_docs documents. Target weights are
-whole shares of `granularity` slots. Block j (from 1) of a source of weight w has release floor((j - 1) / w) and
-deadline ceil(j / w); in each slot the released block with the earliest deadline goes (ties: the heavier source, then
-its name). Since weights add up to one, every block meets its deadline, so after any number of slots a source is less
-than one block away from its weight. The schedule repeats every `granularity` slots, so one period, made on the
-driver, places any number of blocks: block j of a source with share a stands in period j div a at the slot of its
-(j mod a)-th block there.
+Documents of a source, in the order of a hash of their id, form blocks of block_docs documents. Block j (from 1) of a
+source of weight w has release floor((j - 1) / w) and deadline ceil(j / w); in each slot the released block with the
+earliest deadline goes (ties: the heavier source, then its name). Weights are exact rationals that add up to one, so
+every block meets its deadline: after any number of slots a source is less than one block away from its weight,
+however long the corpus. One task makes the schedule of all blocks as a stream; a document finds its slot among those
+of its source's hash range.
 
-Every document gets a slot; none is dropped or repeated. The bound holds up to the first slot whose source has no
-block left (on_target); from there on the other sources keep their slots and the spent source's stay empty.
+Every document gets a slot; none is dropped or repeated. The bound holds up to the first slot that would go to a source
+without a block left (on_target); from there on the blocks of other sources still go within their release and
+deadline, and slots that none of them takes stay empty.
 
 A null source is a source of its own. Null or empty texts are documents like others. Repeated rows each have a place.
 Extra columns pass through. An empty table gives an empty result.
@@ -18,53 +18,91 @@ Extra columns pass through. An empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Hash ranges in which a source's documents are ranked: no source is ranked in one task.
 RANGE_BITS = 12
 
 
 def shares(weights: dict[str, float], granularity: int) -> dict[str, int]:
-    """Whole shares that add up to the granularity: largest remainders, one at least for each positive weight."""
-    weights = {k: w for k, w in weights.items() if w > 0}
-    if len(weights) > granularity:
+    """Whole shares that add up to the granularity: largest remainders, and one for each positive weight below one share."""
+    left = {k: Fraction(w) for k, w in weights.items() if w > 0}
+    if len(left) > granularity:
         raise ValueError("more sources than slots in a period; raise the granularity")
-    total = sum(weights.values())
-    spare = granularity - len(weights)
-    exact = {k: spare * w / total for k, w in weights.items()}
-    out = {k: 1 + int(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))[: granularity - sum(out.values())]:
+    out: dict[str, int] = {}
+    while True:
+        spare, total = granularity - len(out), sum(left.values())
+        small = [k for k, w in left.items() if spare * w < total]
+        if not small:
+            break
+        out |= dict.fromkeys(small, 1)
+        left = {k: w for k, w in left.items() if k not in out}
+    quota = {k: spare * w / total for k, w in left.items()}
+    out |= {k: int(x) for k, x in quota.items()}
+    for k in sorted(quota, key=lambda k: (int(quota[k]) - quota[k], k))[: granularity - sum(out.values())]:
         out[k] += 1
     return out
 
 
-def period(share: dict[str, int], granularity: int) -> list[tuple[str, int, int, int, int]]:
-    """(source, block in period from 0, slot, release, deadline) for one period, by earliest deadline first."""
-    window = lambda a, j: ((j * granularity) // a, -(-(j + 1) * granularity // a))
-    waiting = [(0, k, 0) for k in share]
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the positive weights."""
+    exact = {k: Fraction(w) for k, w in weights.items() if w > 0}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    out = {k: int(x * scale) for k, x in exact.items()}
+    common = math.gcd(*out.values())
+    return {k: x // common for k, x in out.items()}
+
+
+def schedule(weights: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int, bool]]:
+    """(source, block from 0, slot, release, deadline, on target) of all blocks, in the order of slots.
+
+    The block after a source's last one takes part too, unseen: in its slot the bound ends.
+    """
+    total = sum(weights.values())
+    waiting = [(0, k, 0) for k in weights]
     heapq.heapify(waiting)
-    ready, out = [], []
-    for slot in range(granularity):
+    ready, slot, on_target = [], 0, True
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             release, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (window(share[k], j)[1], -share[k], k, j, release))
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[k]), -weights[k], k, j, release))
         deadline, _, k, j, release = heapq.heappop(ready)
-        out.append((k, j, slot, release, deadline))
-        if j + 1 < share[k]:
-            heapq.heappush(waiting, (window(share[k], j + 1)[0], k, j + 1))
-    return out
+        if j < blocks.get(k, 0):
+            yield k, j, slot, release, deadline, on_target
+            heapq.heappush(waiting, ((j + 1) * total // weights[k], k, j + 1))
+        else:
+            on_target = False
+        slot += 1
+
+
+def _schedule_table(spark, weights: dict[str, int], blocks: dict[str, int]) -> DataFrame:
+    names = ["_source", "_block", "_slot", "_release", "_deadline", "_on_target"]
+
+    def run(batches):
+        for batch in batches:
+            rows = schedule(weights, blocks) if batch.num_rows else iter(())
+            while part := list(islice(rows, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], names)
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "_source string, _block long, _slot long, _release long, _deadline long, _on_target boolean")
 
 
-def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block_docs: int = 32, granularity: int = 1000) -> DataFrame:
+def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block_docs: int = 32, granularity: int | None = None) -> DataFrame:
     """docs with _source, _block, _slot, _release, _deadline, _place and _on_target.
 
-    Without weights, a source's target is its number of documents to the power alpha.
+    Without weights, a source's target is its number of documents to the power alpha. Targets are exact; with a
+    granularity they are whole shares of that many slots.
     """
-    spark = docs.sparkSession
     name = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source").cast("string")))
     draw = F.xxhash64(F.lit(17), F.col("doc_id"), F.col("text"))
     keyed = docs.withColumns({"_source": name, "_draw": draw}).withColumn("_range", F.shiftrightunsigned("_draw", 64 - RANGE_BITS).cast("int"))
@@ -77,24 +115,24 @@ def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, a
         unknown = set(supply) - {k for k, w in wanted.items() if w > 0}
         if unknown:
             raise ValueError(f"sources without a target weight: {sorted(unknown)[:5]}")
-    granularity = max(granularity, 4 * len(wanted))
-    share = shares(wanted, granularity) if wanted else {}
-    slots = period(share, granularity) if share else []
-    # The first slot that its source can't fill: a source with b blocks lacks block b.
-    by_block = {(k, j): s for k, j, s, _, _ in slots}
-    horizon = min((b // a * granularity + by_block[k, b % a] for k, a in share.items() for b in [-(-supply.get(k, 0) // block_docs)]), default=0)
-    schema = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_share", T.LongType()), T.StructField("_within", T.LongType()), T.StructField("_at", T.LongType()), T.StructField("_from", T.LongType()), T.StructField("_until", T.LongType())])
-    # One row for each slot of a period: granularity rows, whatever the corpus.
-    table = spark.createDataFrame([(k, share[k], j, s, r, d) for k, j, s, r, d in slots], schema)
-
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("_source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = keyed.join(offsets, ["_source", "_range"]).withColumn("_rank", F.row_number().over(W.partitionBy("_source", "_range").orderBy("_draw", "doc_id")) - 1 + F.col("_before"))
-    share_of = F.broadcast(spark.createDataFrame(list(share.items()), "_source string, _share long")) if share else table.select("_source", "_share").distinct()
-    blocks = ranked.join(share_of, "_source").withColumns({"_block": F.floor(F.col("_rank") / block_docs), "_place": (F.col("_rank") % block_docs).cast("int")})
-    blocks = blocks.withColumns({"_period": F.floor(F.col("_block") / F.col("_share")), "_within": F.col("_block") % F.col("_share")}).drop("_share")
-    placed = blocks.join(F.broadcast(table), ["_source", "_within"])
-    shift = F.col("_period") * granularity
-    return placed.withColumns({"_slot": shift + F.col("_at"), "_release": shift + F.col("_from"), "_deadline": shift + F.col("_until")}).withColumn("_on_target", F.col("_slot") < horizon)
+    if granularity is not None:
+        wanted = shares(wanted, max(granularity, 4 * len(wanted))) if wanted else {}
+    share = whole(wanted)
+    blocks = {k: -(-n // block_docs) for k, n in supply.items()}
+    if any((blocks.get(k, 0) + len(share) + 1) * sum(share.values()) // w >= 1 << 62 for k, w in share.items()):
+        raise ValueError("a target weight is too small: slots pass 64 bits")
+
+    # One row for each hash range of a source: what stands before it, and the places of its blocks.
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn("_before", before).withColumn("_first", F.floor(F.col("_before") / block_docs))
+    spans = offsets.withColumn("_block", F.explode(F.sequence("_first", F.floor((F.col("_before") + F.col("_n") - 1) / block_docs))))
+    found = spans.join(_schedule_table(docs.sparkSession, share, blocks), ["_source", "_block"])
+    places = found.groupBy("_source", "_range", "_before", "_first").agg(F.sort_array(F.collect_list(F.struct("_block", "_slot", "_release", "_deadline", "_on_target"))).alias("_spans"))
+    ranked = keyed.withColumn("_at", F.row_number().over(W.partitionBy("_source", "_range").orderBy("_draw", "doc_id")) - 1)
+    placed = ranked.join(places, ["_source", "_range"]).withColumn("_rank", F.col("_at") + F.col("_before"))
+    placed = placed.withColumns({"_block": F.floor(F.col("_rank") / block_docs), "_place": (F.col("_rank") % block_docs).cast("int")})
+    span = F.element_at("_spans", (F.col("_block") - F.col("_first") + 1).cast("int"))
+    return placed.withColumn("_span", span).withColumns({n: F.col("_span")[n] for n in ("_slot", "_release", "_deadline", "_on_target")}).drop("_spans", "_span")
 
 
 def order(docs: DataFrame, **targets) -> DataFrame:

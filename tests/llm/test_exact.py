@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -243,6 +244,28 @@ def test_pfair(docs, rows, empty):
         pfair.order(docs, weights={"a": 1.0})
 
 
+def test_pfair_follows_exact_weights(spark):
+    weights = {"a": 0.9, "b": 0.05, "c": 0.05}
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'x' AS text", "CASE WHEN id % 20 = 0 THEN 'b' WHEN id % 20 = 1 THEN 'c' ELSE 'a' END AS source")
+    got = sorted(pfair.order(docs, weights=weights, block_docs=1).collect(), key=lambda r: r.slot)
+    total, done = sum(Fraction(w) for w in weights.values()), Counter()
+    on_target = [r for r in got if r.on_target]
+    assert len(on_target) > 1900 and [r.slot for r in on_target] == list(range(len(on_target)))
+    for s, r in enumerate(on_target, 1):
+        done[r.source] += 1
+        assert r.release <= r.slot < r.deadline
+        assert all(abs(done[k] - s * Fraction(w) / total) < 1 for k, w in weights.items())
+    assert pfair.shares(weights, 1000) == {"a": 900, "b": 50, "c": 50} and pfair.shares({"a": 1, "b": 1e-9}, 10) == {"a": 9, "b": 1}
+    uneven = pfair.whole({f"s{k}": 50_000.0**0.7 if k else 500_000.0**0.7 for k in range(20)})
+    total, done = sum(uneven.values()), Counter()
+    for s, (k, _, slot, release, deadline, on_target) in enumerate(pfair.schedule(uneven, dict.fromkeys(uneven, 2000)), 1):
+        if not on_target:
+            break
+        done[k] += 1
+        assert slot == s - 1 and release <= slot < deadline and all(abs(done[x] * total - s * w) < total for x, w in uneven.items())
+    assert s > 9000
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     for n, m in ((50, 40), (200, 150), (30, 29)):
