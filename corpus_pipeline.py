@@ -29,13 +29,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of a Pfair mix of their sources."""
+    """All documents in the order of a Pfair mix of their sources: files, and rows in them, are in the order of slots."""
     return pfair.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens in best-fit sequences."""
-    return packing.pack(docs, vocabulary())
+    """Pieces of at most 2048 tokens in best-fit sequences, numbered in the order of the mix as stored."""
+    return packing.pack_in_order(docs, vocabulary())
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]

@@ -8,6 +8,9 @@ s on, at one offset. Its size depends on the capacity alone. Each piece then fin
 length: the rank inside its input partition, counted while tokenizing, plus the number of such pieces in earlier
 partitions. No length, however frequent, is ranked in one task.
 
+pack() plans over the whole table and heeds no order. pack_in_order() keeps the order in which the table is stored: it
+plans for each stretch of consecutive documents by itself, and numbers sequences stretch by stretch.
+
 Null and empty texts are one piece of one token (the end id). Repeated rows are packed each on its own. Extra columns
 aren't read. Null doc_id stays null. An empty table gives an empty result.
 """
@@ -20,7 +23,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,14 +58,17 @@ def build_encoder(vocabulary: bytes):
 _encoders: dict[int, object] = {}
 
 
-def pieces(docs: DataFrame, vocabulary: bytes, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: bytes, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, carry: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
     """Pieces of every document, with the input partition and the rank there among pieces of the same length.
 
-    Only the first piece of a longer document may be shorter than `capacity`. keep_ids adds the token ids.
+    Only the first piece of a longer document may be shorter than `capacity`. keep_ids adds the token ids, carry
+    (name: type and column) values of the document.
     """
+    carry = carry or {}
+    carried = list(carry)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     key = zlib.crc32(vocabulary)
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "part_rank"] + ["ids"] * keep_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "part_rank", *carried] + ["ids"] * keep_ids
 
     def run(batches):
         if key not in _encoders:
@@ -88,13 +95,15 @@ def pieces(docs: DataFrame, vocabulary: bytes, capacity: int = 2048, end_id: int
             rank[order] = np.arange(len(n)) - run_start
             rank += seen[n]
             seen += np.bincount(n, minlength=capacity + 1)
-            cols = [batch.column("doc_id").take(pa.array(doc_at, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(n), pa.array(sums, pa.int64()), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(rank)]
+            doc_at = pa.array(doc_at, pa.int64())
+            cols = [batch.column("doc_id").take(doc_at), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(n), pa.array(sums, pa.int64()), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(rank)]
+            cols += [batch.column(n).take(doc_at) for n in carried]
             if keep_ids:
                 cols.append(pa.array(kept, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, part_rank long" + ", ids array<long>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, part_rank long" + "".join(f", {n} {kind}" for n, (kind, _) in carry.items()) + ", ids array<long>" * keep_ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(n) for n, (_, c) in carry.items())).mapInArrow(run, schema)
 
 
 def plan(histogram: dict[int, int], capacity: int = 2048) -> np.ndarray:
@@ -159,3 +168,54 @@ def pack(docs: DataFrame, vocabulary: bytes, capacity: int = 2048, end_id: int =
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids + ", sequence_id long, offset long"
     return ranked.select(*names, "rank").mapInArrow(run, schema)
+
+
+def stored_place(docs: DataFrame) -> tuple[Column, Column]:
+    """File and row of each row of a stored table: its order as written, in whatever order files are read.
+
+    File names begin with the number of the partition that wrote them. A table that isn't stored has its partitions
+    for files.
+    """
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    try:
+        docs.select(name, row)
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        return F.lpad(F.shiftright(at, 33).cast("string"), 12, "0"), at.bitwiseAND((1 << 33) - 1)
+    return F.concat(F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 12, "0"), name), row
+
+
+def pack_in_order(docs: DataFrame, vocabulary: bytes, span: int = 4096, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """Every piece with its sequence and its offset there; sequences follow the order in which docs are stored.
+
+    Each stretch of `span` documents of a file is packed by itself. Inside a stretch, sequences go by their earliest document.
+    """
+    spark = docs.sparkSession
+    file, row = stored_place(docs)
+    carry = {"file": ("string", file), "stretch": ("long", F.floor(row / span)), "place": ("long", row)}
+    cut = pieces(docs, vocabulary, capacity, end_id, carry=carry)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "file", "stretch"]
+
+    def place(table):
+        length, at, piece = (table.column(n).to_numpy() for n in ("length", "place", "piece"))
+        order = np.lexsort((piece, at, length))
+        rank = np.empty(len(length), dtype=np.int64)
+        rank[order] = np.arange(len(length)) - np.searchsorted(length[order], length[order], side="left")
+        sizes, counts = np.unique(length, return_counts=True)
+        slots = plan(dict(zip(sizes.tolist(), counts.tolist(), strict=True)), capacity)
+        wide = int(counts.max()) + 1
+        found = np.searchsorted(slots[:, 0] * wide + slots[:, 1], length * wide + rank, side="right") - 1
+        sequence = slots[found, 2] + rank - slots[found, 1]
+        first = np.full(int(sequence.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, sequence, at)
+        number = np.empty(len(first), dtype=np.int64)
+        number[np.argsort(first, kind="stable")] = np.arange(len(first))
+        return pa.Table.from_arrays([*(table.column(n) for n in names), pa.array(number[sequence]), pa.array(slots[found, 3])], [*names, "local", "offset"])
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, file string, stretch long, local long, offset long"
+    placed = store(cut.groupBy("file", "stretch").applyInArrow(place, schema), scratch_dir(spark))
+    # One row for each stretch: the sequences before it.
+    sizes = sorted((r.file, r.stretch, r.n) for r in placed.groupBy("file", "stretch").agg((F.max("local") + 1).alias("n")).collect())
+    before = np.cumsum([0, *(n for *_, n in sizes)]).tolist()
+    base = spark.createDataFrame([(f, k, b) for (f, k, _), b in zip(sizes, before, strict=False)], "file string, stretch long, base long")
+    return placed.join(F.broadcast(base), ["file", "stretch"]).select(*names[:5], (F.col("base") + F.col("local")).alias("sequence_id"), "offset")

@@ -1,7 +1,8 @@
 """The pipeline's stages: each on the rows of the one before, all but the last with the columns of documents."""
 
 import corpus_pipeline
-from tapeline.llm import queries
+from tapeline.llm import packing, queries
+from tapeline.llm.common import scratch_dir, store
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,6 +26,31 @@ def test_stages(spark):
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
 
 
+def test_final_sequences_follow_the_mix(spark):
+    n = {"a": 3000, "b": 1500, "c": 500}
+    rows = [(i, f"{k} " * (900 if k == "a" else 40 if k == "b" else 300) + str(i), k) for k, m in n.items() for i in range(len(k) + 10_000 * ord(k), len(k) + 10_000 * ord(k) + m)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    unmixed = store(docs.repartitionByRange(7, "source"), scratch_dir(spark))
+
+    def furthest(packed):
+        source, seen, done, worst = {r[0]: r[2] for r in rows}, set(), dict.fromkeys(n, 0), 0
+        for r in sorted(packed.collect(), key=lambda r: (r.sequence_id, r.offset)):
+            if r.doc_id not in seen:
+                seen.add(r.doc_id)
+                done[source[r.doc_id]] += 1
+            if len(seen) <= 3500:  # all sources have blocks left
+                worst = max(worst, *(abs(done[k] - len(seen) * m**0.7 / sum(x**0.7 for x in n.values())) for k, m in n.items()))
+        assert seen == set(source)
+        return worst
+
+    mixed = store(corpus_pipeline.mix(spark, docs, SF), scratch_dir(spark))
+    assert furthest(packing.pack_in_order(mixed, queries.vocabulary(), span=128)) < 128
+    assert furthest(corpus_pipeline.pack(spark, mixed, SF)) < furthest(corpus_pipeline.pack(spark, unmixed, SF))
+    packed = corpus_pipeline.pack(spark, mixed, SF).groupBy("sequence_id").sum("length").collect()
+    assert sorted(r[0] for r in packed) == list(range(len(packed))) and max(r[1] for r in packed) <= 2048
+    assert packing.pack_in_order(mixed.limit(0), queries.vocabulary()).count() == 0
+
+
 def test_quality_stage_keeps_good_documents(spark):
     docs, labels = queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels")
     kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, SF).select("doc_id").collect()}
