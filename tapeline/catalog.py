@@ -187,7 +187,7 @@ def calibration_delta(spark, sf_dir):
 
 # --- bootstrap -----------------------------------------------------------------------------------------------------
 
-N_BOOT = 200
+N_BOOT = 2000
 
 
 def _buckets(spark, sf_dir, table: str, key: str, nation: str) -> DataFrame:

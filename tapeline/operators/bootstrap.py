@@ -31,10 +31,12 @@ def replicates(buckets: DataFrame, keys: list[str], order: list[str], n_boot: in
     numbered = buckets.withColumn("slot", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
     sizes = buckets.groupBy(*keys).agg(F.count("*").alias("_size"))
     reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))))
+    reps = reps.repartition(int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "rep")
     # A replicate's draws are counted per utterance first, so each utterance meets a replicate once.
     slots = reps.select(*keys, "rep", "_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)).alias("_i"))
     drawn = slots.withColumn("slot", draw(seed, F.col("rep"), F.col("_i"), F.col("_size"), stream)).groupBy(*keys, "rep", "slot").agg(F.count("*").alias("times"))
-    return drawn.join(numbered, [*keys, "slot"]).groupBy(*keys, "rep").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in COUNTS))
+    # Estimates leave out what explode adds, so without a hint the draws would be broadcast.
+    return drawn.hint("merge").join(numbered, [*keys, "slot"]).groupBy(*keys, "rep").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in COUNTS))
 
 
 def _bounds(values: Column, n_boot: int) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tapeline import catalog
 from tapeline.functions import normalize
 from tapeline.operators import alignment, bootstrap, clean, metrics, pairing, reports, sentences, translation
 from tapeline.schema import SEGMENT
@@ -98,6 +99,16 @@ def test_bootstrap(spark):
     assert 0 < gap.lo <= gap.mean <= gap.hi
 
 
+def test_registered_bootstraps_use_the_default_replicates(spark):
+    sf = "/root/testdata/sf0.001"
+    true, sub = catalog._buckets(spark, sf, "supplier", "s_suppkey", "s_nationkey"), catalog._buckets(spark, sf, "customer", "c_custkey", "c_nationkey")
+    ordered = lambda df: sorted(map(tuple, df.collect()))
+    assert ordered(catalog.queries()["bootstrap_ci"](spark, sf)) == ordered(bootstrap.rate_intervals(true, ["region"], ["id"]))
+    want = bootstrap.gap_intervals(true, sub, ["region"], ["id"]).withColumn("mean", F.round("mean", 9))
+    assert ordered(catalog.queries()["bootstrap_gap"](spark, sf)) == ordered(want)
+    assert all("range(2000)" in catalog.oracle_sql()[q] for q in ("bootstrap_ci", "bootstrap_gap"))
+
+
 def segment(i, start, end, text, logprob=-0.2, silence=0.01, ratio=1.0, temp=0.0, words=()):
     return ("f", i, float(start), float(end), text, logprob, silence, ratio, temp, [tuple(w) for w in words])
 
