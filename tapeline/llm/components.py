@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, scratch_dir, store
+from .common import Scratch
 
 
 def find(parent: dict, x):
@@ -29,44 +27,41 @@ def unite(parent: dict, x, y) -> bool:
     return True
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None, name: str = "components") -> DataFrame:
     """node, component (its smallest node) for every node of edges (a long, b long).
 
     Each round contracts: every root takes the smallest root that an edge joins it to, chains of roots are cut short by
-    jumping, and edges are rewritten to roots, so that edges inside a component vanish and the graph shrinks. Each
+    jumping, and edges are rewritten to roots, so that edges inside a component vanish and the graph shrinks. Every
+    root with an edge hooks or is hooked to, so a round at least halves the roots that have edges. Each
     round's tables are written, so that lineage stays short and lost executors cost one round at most.
     """
-    spark = edges.sparkSession
-    place = scratch_dir(spark)
-    old: list[str] = []
+    if scratch is None:
+        with Scratch(edges.sparkSession) as own:
+            return own.keep(components(edges, own, name), name, result=True)
+    written: list[str] = []
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        old.append(f"{place}/{name}")
-        return store(df, old[-1])
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        written.append(f"{name}_{what}")
+        return scratch.keep(df, written[-1])
 
     def clear(but: str) -> None:
-        for path in old:
-            if path != f"{place}/{but}":
-                discard(spark, path)
-        old[:] = [f"{place}/{but}"]
+        scratch.drop(*(x for x in written if x != f"{name}_{but}"))
+        written[:] = [f"{name}_{but}"]
 
     flat = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     live = kept(flat, "edges0")
     labels = live.select(F.col("a").alias("node")).union(live.select("b")).distinct().withColumn("component", F.col("node"))
-    labels = kept(labels, "labels0")
-    for k in range(1, max_rounds + 1):
-        if live.isEmpty():
-            clear(f"labels{k - 1}")
-            return labels
+    labels, k = kept(labels, "labels0"), 0
+    while not live.isEmpty():
+        k += 1
         # Hook: b takes the smallest a. Only the larger end hooks, so there are no cycles.
         hooks = kept(live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), f"hooks{k}")
-        for step in range(max_rounds):
+        step, moving = 0, True
+        while moving:
             top = hooks.select(F.col("node").alias("up"), F.col("up").alias("higher"))
             jumped = hooks.join(top, "up", "left")
             moved = kept(jumped.select("node", F.coalesce("higher", "up").alias("up"), F.col("higher").isNotNull().alias("moved")), f"hooks{k}_{step}")
-            hooks = moved.select("node", "up")
-            if moved.where("moved").isEmpty():
-                break
+            hooks, step, moving = moved.select("node", "up"), step + 1, not moved.where("moved").isEmpty()
         roots = hooks.select(F.col("node").alias("root"), "up")
         labels = kept(labels.join(roots, labels["component"] == roots["root"], "left").select("node", F.coalesce("up", "component").alias("component")), f"labels{k}")
         at_a = roots.select(F.col("root").alias("a"), F.col("up").alias("up_a"))
@@ -74,25 +69,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         new = live.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("up_a", "a").alias("x"), F.coalesce("up_b", "b").alias("y"))
         new = new.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         live = kept(new, f"edges{k}")
-    raise RuntimeError("components did not settle")
-
-
-def forest(batches, group: str, member: str):
-    """Edges (a, b) that join the members of each run of equal `group` in sorted batches, one for each union."""
-    parent: dict[int, int] = {}
-    last, head = None, None
-    for batch in batches:
-        g, m = batch.column(group).to_numpy(zero_copy_only=False), batch.column(member).to_numpy(zero_copy_only=False)
-        if not len(g):
-            continue
-        fresh = np.concatenate(([last is None or g[0] != last], g[1:] != g[:-1]))
-        starts = np.flatnonzero(fresh)
-        heads = np.full(len(g), head if head is not None else m[0], dtype=np.int64)
-        if len(starts):
-            sizes = np.diff(np.append(starts, len(g)))
-            heads[starts[0] :] = np.repeat(m[starts], sizes)
-        last, head = g[-1], heads[-1]
-        pairs = [(int(x), int(y)) for x, y in zip(heads[heads != m], m[heads != m], strict=True) if unite(parent, int(x), int(y))]
-        if pairs:
-            a, b = zip(*pairs, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    clear(f"labels{k}")
+    return labels

@@ -1,6 +1,8 @@
 """Operators with exact results against brute force, on a table of odd rows, and on an empty one."""
 
 import hashlib
+import json
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -80,12 +82,67 @@ def brute_components(rows, width, percent):
     return Counter((i, len(s), None if i is None else components.find(parent, i) if s else i) for i, s in texts)
 
 
-@pytest.mark.parametrize(("width", "percent", "block"), [(4, 85, 3000), (5, 80, 3)])
+@pytest.mark.parametrize(("width", "percent", "block"), [(4, 85, 4_000_000), (5, 80, 300)])
 def test_divide_skip(docs, rows, width, percent, block):
     got = divide_skip.near_duplicates(docs, width, percent, block)
     assert collected(got, "doc_id", "n_shingles", "component_id") == brute_components(rows, width, percent)
 
 
+def test_all_links(docs, rows):
+    sets = {}
+    for i, t, *_ in rows:
+        w = WORD.findall((t or "").translate(ASCII_LOWER))
+        s = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        if i is not None and s:
+            sets[s] = min(i, sets.get(s, i))
+    want = {(min(a, b), max(a, b)) for s, a in sets.items() for u, b in sets.items() if a != b and len(s & u) * 100 >= 80 * len(s | u)}
+    pairs, member = divide_skip.links(docs)
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 20
+    assert {(r.doc_id, r.class_id) for r in member.collect()} >= {(i, i) for i in sets.values()}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_divide_skip_on_shared_passages_and_long_words(spark, percent):
+    """Chains of copies, passages that many documents share, a group too large for a block; words that collide modulo 2**64."""
+    rng = random.Random(percent)
+    word = lambda: "".join(rng.choice("aeioutnslrd") for _ in range(rng.randint(2, 7)))
+    passage = [[word() for _ in range(60)] for _ in range(3)]
+    texts = [" ".join([word() for _ in range(rng.randint(5, 90))] + rng.choice(passage) + [word() for _ in range(rng.randint(0, 40))]) for _ in range(60)]
+    now = [word() for _ in range(80)]
+    for _ in range(80):
+        now[rng.randrange(80)] = word()
+        texts.append(" ".join(now))
+    base = [word() for _ in range(70)]
+    for _ in range(40):
+        copy = list(base)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(70)] = word()
+        texts.append(" ".join(copy))
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    texts += [thue, thue.translate(str.maketrans("ab", "ba"))]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_components(rows, 5, percent)
+    assert len({c for (_, _, c), _ in want.items()}) > 60
+    for block in (4_000_000, 500):
+        assert collected(divide_skip.near_duplicates(docs, 5, percent, block), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_one_of_each_keeps_text_and_columns(spark):
+    """A row without text never wins over one with text, and columns of any name keep their values."""
+    names = ["_id", "_n", "_component", "_first", "id", "row", "body", "n", "component", "place", "rows", "d1", "tokens", "a.b"]
+    text = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(5, None), (5, text), (5, ""), (6, text), (7, None), (7, ""), (None, text), (None, None), (8, text + " iota"), (9, "one two")]
+    docs = spark.createDataFrame([(*r, *(f"{k}:{n}" for n in names)) for k, r in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = divide_skip.one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = {tuple(r) for r in got.collect()}
+    assert kept == {(*rows[k], *(f"{k}:{n}" for n in names)) for k in (1, 4, 5, 6, 7, 9)}
+
+
 def test_one_of_each(docs, rows, empty):
     want = brute_components(rows, 5, 80)
     # A group has one row; rows without an id or without words all stay.
@@ -99,19 +156,25 @@ def test_one_of_each(docs, rows, empty):
     assert divide_skip.near_duplicates(empty).count() == 0
 
 
-def test_routing_keys_lose_no_link():
+def test_prefixes_lose_no_link():
+    """Linked sets share as many shingles inside their prefixes as the smaller one shows, which is what the bound counts."""
     rng = np.random.default_rng(1)
-    for percent in (80, 85):
+    linked = 0
+    for percent in (30, 80, 85):
         for n in [1, 2, 5, 6, 7, 8, 11, 13, 17, 25, 40, 100, 400, 1500]:
             for _ in range(25):
                 a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
                 most = (100 - percent) * 2 * n // (100 + percent) + 2
                 b = np.unique(np.concatenate((a[rng.integers(0, most + 1) :], rng.integers(0, 2**64, rng.integers(0, most + 1), dtype=np.uint64))))
-                if not len(b) or len(a) == len(b) and (a == b).all():
-                    continue
                 common = len(np.intersect1d(a, b))
-                if 100 * common >= percent * (len(a) + len(b) - common):
-                    assert set(divide_skip.routing_keys(a, percent).tolist()) & set(divide_skip.routing_keys(b, percent).tolist())
+                if len(b) and 100 * common >= percent * (len(a) + len(b) - common):
+                    linked += 1
+                    met = len(np.intersect1d(divide_skip.prefix(a, percent), divide_skip.prefix(b, percent)))
+                    for s in (a, b):
+                        assert met >= divide_skip.shown(divide_skip.least_overlap(len(s), percent), percent)
+                    short = [s[: len(s) - divide_skip.least_overlap(len(s), percent) + 1] for s in (a, b)]
+                    assert len(np.intersect1d(*short))
+    assert linked > 300
 
 
 def brute_repeats(rows, window):
@@ -207,7 +270,7 @@ def test_plan_is_best_fit():
             else:
                 rooms.append(capacity - n)
         histogram = {int(k): int(c) for k, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
-        rows = packing.plan(histogram, capacity)
+        rows = packing.best_fit_decreasing(histogram, capacity)
         used = defaultdict(list)
         for k, (length, rank, sequence, offset) in enumerate(rows.tolist()):
             end = rows[k + 1][1] if k + 1 < len(rows) and rows[k + 1][0] == length else histogram[length]
@@ -222,6 +285,40 @@ def test_plan_is_best_fit():
             assert at <= capacity
 
 
+def test_plans_reach_the_bound():
+    """Where best-fit decreasing leaves room for a whole sequence, filling by subset sums doesn't."""
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        capacity = int(rng.integers(20, 200))
+        lengths = rng.integers(1, capacity // 2, rng.integers(50, 400))
+        histogram = {int(k): int(c) for k, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
+        rows = packing.plan(histogram, capacity)
+        n = packing.sequences_of(rows, histogram)
+        assert n == -(-int(lengths.sum()) // capacity)
+        used = defaultdict(int)
+        for k, (length, rank, sequence, offset) in enumerate(rows.tolist()):
+            end = rows[k + 1][1] if k + 1 < len(rows) and rows[k + 1][0] == length else histogram[length]
+            for j in range(end - rank):
+                for byte in range(offset, offset + length):
+                    used[sequence + j, byte] += 1
+        assert len(used) == lengths.sum() and max(used.values()) == 1 and max(b for _, b in used) < capacity and len({q for q, _ in used}) == n
+
+
+def test_ids_of_very_long_runs():
+    from tokenizers import Tokenizer
+
+    vocabulary = queries.vocabulary()
+    reference, encode = Tokenizer.from_str(vocabulary.decode()), packing.build_encoder(vocabulary)
+    for run in (" ", "\n", "\t \u00a0", "\x85", "\x1c"):
+        for text in (run * 30_000, run * 30_000 + "a", "a" + run * 30_000 + "\nb <|endoftext|>" + run * 20_000 + "<|endoftext|>c", "q" * 30_000 + run * 12_000 + "%"):
+            assert encode(text).tolist() == reference.encode(text, add_special_tokens=False).ids
+    assert len(encode(" " * 1_500_000 + "a"))
+    spec = json.loads(vocabulary)
+    spec["normalizer"] = {"type": "Lowercase"}
+    with pytest.raises(ValueError):
+        packing.build_encoder(json.dumps(spec).encode())
+
+
 def test_pfair(docs, rows, empty):
     got = pfair.order(docs, block_docs=2, granularity=40).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
@@ -311,14 +408,49 @@ def test_streams_are_the_same_in_any_batches():
             for r in batch.to_pylist():
                 got[r["kind"], r["ord"], r["th"], r["start"]] += 1
         assert got == want
-        parent, other = {}, {}
-        for batch in components.forest(_cut_up(table, rng), "key", "ord"):
-            for r in batch.to_pylist():
-                components.unite(parent, r["a"], r["b"])
-        for key in set(x[:, 0].tolist()):
-            members = x[x[:, 0] == key][:, 4].tolist()
-            for m in members[1:]:
-                components.unite(other, members[0], m)
-        for a in range(3):
-            for b in range(3):
-                assert (components.find(parent, a) == components.find(parent, b)) == (components.find(other, a) == components.find(other, b))
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    """Columns named like those that the operators make pass through by value."""
+    names = "_source _slot _share _hash _kept _doc _id _n row of draw range at rank block slot span spans place n before first rows common h1 body places id hash kept n_lines n_dropped a.b on_target release deadline".split()
+    texts = ["The very same long line stands in many documents, as it says.\nown line %d" % k for k in range(8)] + [None, "", "short"]
+    given = [(k, t, ["a", "b", None][k % 3], *(f"{k}:{n}" for n in names)) for k, t in enumerate(texts)]
+    given += [(None, texts[0], "a", *(f"x:{n}" for n in names)), given[3]]
+    docs = spark.createDataFrame(given, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)).repartition(2)
+    mixed = pfair.mixed(docs, block_docs=2)
+    assert mixed.columns == docs.columns and Counter(map(tuple, mixed.collect())) == Counter(given)
+    cleaned = line_runs.clean(docs)
+    kept = lambda r: (r[0], r[1].split("\n")[1] if r[1] and r[0] != 7 and "\n" in r[1] else r[1], *r[2:])
+    assert cleaned.columns == docs.columns and Counter(map(tuple, cleaned.collect())) == Counter(map(kept, given))
+
+
+def test_divergence_distances(docs, rows):
+    """Distances and verdicts against a plain computation, with languages of their own, rare ones and null."""
+    import math
+
+    classes = [re.compile(p) for p in ("[A-Z]", "[0-9]", r"[.,;:!?'\"()-]", r"[#*$%&|<>]", f"[{BLANKS}]", r"[^\x00-\x7f]")]
+    texts = [(i, lang, t or "", t is None) for i, t, lang, *_ in rows]
+    size = Counter(lang for _, lang, _, missing in texts if lang is not None and not missing)
+    ref = lambda lang: lang if size.get(lang, 0) >= 20 else "*"
+    histogram = lambda t: (lambda c: [*c, len(t) - sum(c)])([len(p.findall(t)) for p in classes])
+    sums, words = defaultdict(lambda: [0] * 7), defaultdict(Counter)
+    for _, lang, t, _ in texts:
+        for k in {ref(lang), "*"}:
+            sums[k] = [a + b for a, b in zip(sums[k], histogram(t), strict=True)]
+            words[k].update(WORD.findall(t))
+
+    def distance(p, q):
+        part = lambda a, m: a * math.log2(a / m) if a > 0 else 0
+        return math.sqrt(max(sum((part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2 for a, b in zip(p, q, strict=True)), 0))
+
+    want = defaultdict(list)
+    for i, lang, t, _ in texts:
+        k, own, mine = ref(lang), histogram(t), Counter(WORD.findall(t))
+        top = sorted((w for w in words[k] if len(w) <= 4), key=lambda w: (-words[k][w], w.encode()))[:24]
+        n, total = max(sum(mine.values()), 1), max(sum(words[k].values()), 1)
+        p, q = [mine[w] / n for w in top], [words[k][w] / total for w in top]
+        rest = lambda x: [*x, max(1 - sum(x), 0)]
+        want[i].append((distance([x / max(sum(own), 1) for x in own], [x / max(sum(sums[k]), 1) for x in sums[k]]), distance(rest(p), rest(q)), t))
+    assert {ref(r[2]) for r in rows} == {"en", "fr", "*"}
+    for r in divergence.judge(docs).collect():
+        assert any(abs(r.class_distance - a) < 1e-9 and abs(r.word_distance - b) < 1e-9 for a, b, _ in want[r.doc_id]), r
