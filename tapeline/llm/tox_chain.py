@@ -2,47 +2,64 @@
 
 Categories are predicted in a fixed order; the model of a category sees the document's term features and the
 probabilities of all categories before it. While training, those earlier probabilities are out-of-fold
-predictions, so a later model learns how far to trust an earlier one on documents it hasn't seen.
-
-The label table has one toxicity label. Two stricter categories are made from it inside the training sample, by
-the number of distinct marked terms (terms seen in toxic and hardly in clean training documents):
-  heavy   toxic with at least four marked terms
-  plural  toxic with at least two marked terms
-  toxic   the label itself, last in the chain and the verdict
+predictions, so a later model learns how far to trust an earlier one on documents it hasn't seen. A fold's
+predictions come from terms chosen, and models fitted, without that fold.
+
+Categories are conditions on the columns of the label table, in the order of the chain; the last one is the verdict. The
+label table of the query has one toxicity label and one quality label, which give
+  toxic_junk   toxic text in a document of bad quality
+  toxic_prose  toxic text in a document of good quality
+  toxic        toxic text of either kind, or where quality isn't labelled
+Rows where a category's columns are null teach the other categories only.
 Each model is a logistic regression on the presence of hashed terms: whole words (letters only, without case)
-and word beginnings of four and five bytes.
+and word beginnings of four and five bytes. A text without any known term gets what the models' offsets say.
 
-The sample is bounded by max_per_class and train_chars; scoring reads whole texts. Texts without any term that the
-models know, null and empty ones among them, get probability 0. Repeated rows are scored alike; extra columns aren't read; an empty table gives an empty result. Without
-labelled rows of both classes every probability is the share of label 1 (0 without any).
+The sample is bounded by max_per_class documents of each class of the verdict; terms are taken from their whole texts, and scoring reads whole
+texts: of a very long one a stretch at a time, cut between words (runs of over a megabyte of letters are cut too). Null and empty texts have no
+term. Terms of equal weight are chosen by smaller hash. Repeated rows are scored alike; a null doc_id is scored like any other and teaches nothing; extra columns aren't
+read; an empty table gives an empty result. Without labelled rows of both classes of a category its probability is the share of its label 1 (0 without any).
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, labelled_sample, text_slices
+from .common import Scratch, fold_of, labelled_ids, text_slices
 from .textbytes import LOWER, SpanHash
 
-CATEGORIES = ("heavy", "plural", "toxic")
 BITS = 20
-TERMS = 768
+STRETCH = 1 << 20
 _U = np.uint64
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[ord("a") : ord("z") + 1] = True
+_LETTER[ord("A") : ord("Z") + 1] = True
 _LETTER[128:] = True
 
 
-def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed terms of all texts, with the text of each; repeats included."""
-    joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    buf = LOWER[joined]
-    starts = np.zeros(len(texts) + 1, dtype=np.int64)
-    np.cumsum([len(t) + 1 for t in texts], out=starts[1:])
+def default_categories() -> dict[str, Column]:
+    toxic, good = F.col("toxic") == 1, F.col("quality") == 1
+    return {"toxic_junk": toxic & ~good, "toxic_prose": toxic & good, "toxic": toxic}
+
+
+def stretches(text: bytes, limit: int = STRETCH):
+    """Pieces of a text of at most limit bytes, cut behind a byte that isn't a letter where there is one."""
+    while len(text) > limit:
+        ends = np.flatnonzero(~_LETTER[np.frombuffer(text[:limit], dtype=np.uint8)])
+        at = int(ends[-1]) + 1 if len(ends) else limit
+        yield text[:at]
+        text = text[at:]
+    yield text
+
+
+def _terms(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    buf = LOWER[np.frombuffer(b" ".join(pieces) + b" ", dtype=np.uint8)]
+    starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in pieces])))
     letter = _LETTER[buf]
     change = np.flatnonzero(letter[1:] != letter[:-1]) + 1
     if len(buf) and letter[0]:
@@ -58,26 +75,51 @@ def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) >> _U(64 - BITS)).astype(np.int64), np.concatenate(docs)
 
 
-def presence(columns: np.ndarray, texts: list[bytes], width: int) -> np.ndarray:
-    """Rows of texts by chosen terms: 1 where the term is present. columns: term to column, or -1."""
-    terms, doc = terms_of(texts)
-    col = columns[terms]
-    hit = col >= 0
-    out = np.zeros((len(texts), width), dtype=np.float32)
-    out[doc[hit], col[hit]] = 1
+def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed terms of all texts, with the text of each; each once for a text, ascending in (text, term)."""
+    found, held, owner, size = [], [], [], 0
+
+    def close():
+        terms, piece = _terms(held)
+        found.append(np.unique((np.array(owner)[piece] << BITS) + terms))
+
+    for i, text in enumerate(texts):
+        for piece in stretches(text):
+            if held and size + len(piece) > STRETCH:
+                close()
+                held, owner, size = [], [], 0
+            held.append(piece)
+            owner.append(i)
+            size += len(piece)
+    if held:
+        close()
+    both = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+    return both & ((1 << BITS) - 1), both >> BITS
+
+
+def presence(chosen: np.ndarray, terms: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of texts by chosen terms (ascending): 1 where the term is present."""
+    out = np.zeros((rows, len(chosen)), dtype=np.float32)
+    if len(chosen):
+        at = np.minimum(np.searchsorted(chosen, terms), len(chosen) - 1)
+        hit = chosen[at] == terms
+        out[doc[hit], at[hit]] = 1
     return out
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, rate: float = 0.15, ridge: float = 3e-4) -> np.ndarray:
+    """Adam on the cross-entropy; the weight of a document is the root of what would make both classes weigh the same."""
     theta = np.zeros(x.shape[1] + 1, dtype=np.float32)
     y = y.astype(np.float32)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    if y.min() == y.max():
-        theta[-1] = 12.0 if y[0] else -12.0
+    if not len(y) or y.min() == y.max():
+        theta[-1] = 12.0 if len(y) and y[0] else -12.0
         return theta
+    weight = np.where(y == 1, np.sqrt((len(y) - y.sum()) / y.sum()), 1)
+    weight = (weight / weight.sum()).astype(np.float32)
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-(x @ theta[:-1] + theta[-1])))
-        wrong = (p - y) / np.float32(len(y))
+        wrong = (p - y) * weight
         grad = np.append(x.T @ wrong + np.float32(ridge) * theta[:-1], wrong.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -88,63 +130,84 @@ def _predict(theta: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ theta[:-1] + theta[-1], -60, 60)))
 
 
-def train(sample: list[tuple[bytes, int]], folds: int = 3, seed: int = 11) -> dict:
-    toxic = np.array([label for _, label in sample], dtype=np.int64)
-    if len(set(toxic.tolist())) < 2:
-        return {"constant": float(toxic.mean()) if len(toxic) else 0.0}
-    found = []
-    for first in range(0, len(sample), 200):  # a part at a time: the hashes of a buffer take many times its size
-        terms, doc = terms_of([t for t, _ in sample[first : first + 200]])
-        found.append(np.unique((doc + first) * (1 << BITS) + terms))
-    once = np.concatenate(found)
-    doc, terms = once >> BITS, once & ((1 << BITS) - 1)
-    by_class = [np.bincount(terms[toxic[doc] == c], minlength=1 << BITS) for c in (0, 1)]
-    rates = [(by_class[c] + 0.5) / ((toxic == c).sum() + 1) for c in (0, 1)]
-    gain = rates[1] * np.log(rates[1] / rates[0]) + rates[0] * np.log(rates[0] / rates[1])
+def choose_terms(terms: np.ndarray, doc: np.ndarray, verdict: np.ndarray, use: np.ndarray, n_terms: int) -> np.ndarray:
+    """The terms that tell the verdict's classes apart best, by symmetric divergence, on the documents in use; ascending."""
+    held = use[doc]
+    y = verdict[doc[held]]
+    by_class = [np.bincount(terms[held][y == c], minlength=1 << BITS) for c in (0, 1)]
+    rates = [(by_class[c] + 0.5) / ((verdict[use] == c).sum() + 1) for c in (0, 1)]
+    gain = (rates[1] - rates[0]) * np.log(rates[1] / rates[0])
     gain[(by_class[0] + by_class[1]) < 3] = -1
-    chosen = np.argsort(-gain, kind="stable")[:TERMS]
-    columns = np.full(1 << BITS, -1, dtype=np.int64)
-    columns[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(sample), len(chosen)), dtype=np.float32)
-    hit = columns[terms] >= 0
-    x[doc[hit], columns[terms[hit]]] = 1
-    marked = x[:, rates[1][chosen] > 20 * rates[0][chosen]].sum(1)
-    targets = {"heavy": (toxic == 1) & (marked >= 4), "plural": (toxic == 1) & (marked >= 2), "toxic": toxic == 1}
-    fold = np.random.default_rng(seed).integers(0, folds, len(sample))
-    earlier = np.zeros((len(sample), 0), dtype=np.float32)
+    best = np.argsort(-gain, kind="stable")[:n_terms]
+    return np.sort(best[gain[best] >= 0])
+
+
+def train(names: list[str], labels: np.ndarray, fold: np.ndarray, terms: np.ndarray, doc: np.ndarray, n_terms: int = 768) -> dict:
+    """labels: documents by categories, NaN where unknown. terms and doc: the term hashes of all documents and whose they are."""
+    known = ~np.isnan(labels)
+    if len(set(labels[known[:, -1], -1].tolist())) < 2:
+        return {"names": names, "constant": [float(labels[known[:, c], c].mean()) if known[:, c].any() else 0.0 for c in range(len(names))]}
+    verdict = np.nan_to_num(labels[:, -1]).astype(int)
+    everyone = np.ones(len(labels), dtype=bool)
+    parts = [(fold != k, choose_terms(terms, doc, verdict, fold != k, n_terms)) for k in np.unique(fold)]
+    chosen = choose_terms(terms, doc, verdict, everyone, n_terms)
+    x = presence(chosen, terms, doc, len(labels))
+    inside = [presence(c, terms, doc, len(labels)) for _, c in parts]
+    earlier = np.zeros((len(labels), 0), dtype=np.float32)
     chain = []
-    for name in CATEGORIES:
-        y = targets[name].astype(np.float64)
-        seen = np.hstack((x, earlier))
+    for c in range(len(names)):
+        y, has = np.nan_to_num(labels[:, c]), known[:, c]
         held = np.zeros(len(y))
-        for k in range(folds):
-            away = fold != k
-            held[~away] = _predict(_fit_logistic(seen[away], y[away]), seen[~away])
-        chain.append(_fit_logistic(seen, y))
+        for (away, _), features in zip(parts, inside, strict=True):
+            seen = np.hstack((features, earlier))
+            held[~away] = _predict(_fit_logistic(seen[away & has], y[away & has]), seen[~away])
+        chain.append(_fit_logistic(np.hstack((x, earlier))[has], y[has]))
         earlier = np.hstack((earlier, held[:, None].astype(np.float32)))
-    return {"columns": columns.astype(np.int16), "width": len(chosen), "chain": chain}
+    return {"names": names, "chosen": chosen, "chain": chain}
 
 
 def score_texts(model: dict, texts: list[bytes]) -> np.ndarray:
     """A column of probabilities for each category, in the chain's order."""
     if "constant" in model:
-        return np.full((len(texts), len(CATEGORIES)), model["constant"])
-    x = presence(model["columns"], texts, model["width"])
-    known = x.any(axis=1)
+        return np.tile(np.array(model["constant"]), (len(texts), 1))
+    x = presence(model["chosen"], *terms_of(texts), len(texts))
     for theta in model["chain"]:
         x = np.hstack((x, _predict(theta, x)[:, None]))
-    return np.where(known[:, None], x[:, model["width"] :], 0).astype(np.float64)
+    return x[:, len(model["chosen"]) :].astype(np.float64)
+
 
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, max_per_class: int = 2000, n_terms: int = 768, train_folds: int = 4, folds: int = 5, held_out_fold: int = 0) -> dict:
+    """Learn from labelled rows outside the held-out fold. The terms of the sample's texts are found on the executors."""
+    categories = categories or default_categories()
+    names = list(categories)
+    given = labels.where(fold_of("doc_id", folds) != held_out_fold).select("doc_id", *(c.cast("int").alias(n) for n, c in categories.items()))
+    ids, _ = labelled_ids(given, names[-1], max_per_class)
+    if ids is None:
+        return train(names, np.zeros((0, len(names))), np.zeros(0, dtype=int), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 1500, train_chars: int = 8_000, folds: int = 5, held_out_fold: int = 0) -> dict:
-    open_rows = labels.where(fold_of("doc_id", folds) != held_out_fold)
-    return train(labelled_sample(docs, open_rows, "toxic", max_per_class, train_chars)[0])
+    def run(batches):
+        for part, texts in text_slices(batches):
+            terms, doc = terms_of(texts)
+            cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("sample_id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(terms.astype(np.int32)))], ["sample_id", "terms"])
+
+    hit = docs.select(F.col("doc_id").cast("long").alias("sample_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids.select("sample_id")), "sample_id")
+    each = hit.mapInArrow(run, "sample_id long, terms array<int>").groupBy("sample_id").agg(F.min("terms").alias("terms"))
+    per_id = given.groupBy(F.col("doc_id").alias("sample_id")).agg(*(F.max(n).alias(n) for n in names))
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(each.join(per_id.join(F.broadcast(ids.select("sample_id")), "sample_id"), "sample_id"), "sample")
+        found = [(r.sample_id, np.array(r.terms, dtype=np.int64), [r[n] for n in names]) for r in rows.toLocalIterator()]
+    found.sort(key=lambda f: f[0])
+    labels_of = np.array([[np.nan if x is None else x for x in f[2]] for f in found], dtype=float).reshape(-1, len(names))
+    fold = np.array([zlib.crc32(b"%d" % f[0]) // 8 % train_folds for f in found], dtype=np.int64)
+    terms = np.concatenate([f[1] for f in found]) if found else np.zeros(0, dtype=np.int64)
+    return train(names, labels_of, fold, terms, np.repeat(np.arange(len(found)), [len(f[1]) for f in found]), n_terms)
 
 
 def detect(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, **sample) -> DataFrame:
-    """doc_id, held_out, p_<category> for each category, and toxic (1 where p_toxic reaches the threshold)."""
+    """doc_id, held_out, p_<category> for each category, and toxic (1 where the last category's probability reaches the threshold)."""
     model = fit(docs, labels, **sample)
-    names = ["doc_id", *(f"p_{c}" for c in CATEGORIES)]
+    names = ["doc_id", *(f"p_{c}" for c in model["names"])]
 
     def run(batches):
         for part, texts in text_slices(batches):
@@ -152,4 +215,4 @@ def detect(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, **sample
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(p[:, i], pa.float64()) for i in range(p.shape[1]))], names)
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names[1:]))
-    return out.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), *names[1:], (F.col("p_toxic") >= threshold).cast("int").alias("toxic"))
+    return out.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), *names[1:], (F.col(names[-1]) >= threshold).cast("int").alias("toxic"))
