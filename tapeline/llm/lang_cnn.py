@@ -1,14 +1,15 @@
 """Language ID: a byte convolutional network with filters of several widths, max pooling and a softmax, in numpy.
 
-Bytes are embedded; filters of widths 2, 3 and 4 pass over windows of fixed length; each filter's largest
+Every byte value has an embedding; filters of widths 2, 3 and 4 pass over windows of fixed length; each filter's largest
 activation in a window feeds a softmax over the languages. A text of any length is cut into such windows, all of
 them are scored, and the sum of their log-probabilities decides. A filter's response to a byte at one of its
 places is a row of a small table (embedding times weights), and the two places of a pair share one table, so
 scoring gathers rows of pair tables instead of multiplying.
 
-Training windows come from at most max_per_lang documents of each language, windows_per_doc from each. Documents
-with a null language teach nothing. Null texts and texts without a letter are `und` with score 0. With one known
-language that one is the answer with score 1; with none, `und`. Repeated rows are predicted alike; extra columns
+Training windows come from at most max_per_lang documents of each language, windows_per_doc from each, at hashed
+places of the whole text. Documents with a null language or doc_id teach nothing. Null texts and texts without a letter are `und` with score 0. With one known
+language that one is the answer with score 1; with none, `und`. Languages of equal probability: the first by name. Very long
+texts are scored window by window, some at a time. Repeated rows are predicted alike; extra columns
 aren't read; an empty table gives an empty result.
 """
 
@@ -26,25 +27,14 @@ WINDOW = 128
 EMBED = 8
 FILTERS = 10
 WIDTHS = (2, 3, 4)
+_SYMBOLS = 256  # every byte has an embedding of its own
 UNDETERMINED = "und"
 
-# Bytes in 64 symbols: letters without case, one digit, one blank, one for other ASCII, and the bytes from 0x80 on
-# folded by their low five bits (lead bytes and continuation bytes apart).
-_SYMBOL = np.full(256, 28, dtype=np.int64)
-_SYMBOL[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
-for _i in range(26):
-    _SYMBOL[ord("a") + _i] = _SYMBOL[ord("A") + _i] = 1 + _i
-_SYMBOL[ord("0") : ord("9") + 1] = 27
-_SYMBOL[0x80:0xC0] = 29 + np.arange(64) % 32
-_SYMBOL[0xC0:] = 61 + np.arange(64) % 3
-_SYMBOLS = 64
-
-
 def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All windows of all texts, the last of each filled up with blanks, and the number of windows of each text."""
     counts = np.array([max(1, -(-len(t) // WINDOW)) for t in texts], dtype=np.int64)
     joined = b"".join(t.ljust(int(k) * WINDOW) for t, k in zip(texts, counts, strict=True))
-    return _SYMBOL[np.frombuffer(joined, dtype=np.uint8)].reshape(-1, WINDOW), counts
+    return np.frombuffer(joined, dtype=np.uint8).reshape(-1, WINDOW), counts
 
 
 def _init(langs: int, rng) -> dict:
@@ -118,6 +108,7 @@ def compiled(net: dict, langs: list[str]) -> dict:
 
 
 def window_log_probs(model: dict, windows: np.ndarray) -> np.ndarray:
+    windows = windows.astype(np.int32)
     pairs = windows[:, :-1] * _SYMBOLS + windows[:, 1:]
     pooled = []
     for w, bias, tables in model["tables"]:
@@ -158,33 +149,35 @@ def predict_texts(model: dict, texts: list[bytes]) -> tuple[list[str], np.ndarra
     return names.tolist(), np.clip(score, 0, 1)
 
 
-def fit(docs: DataFrame, max_per_lang: int = 300, windows_per_doc: int = 4, max_langs: int = 200, folds: int = 4, held_out_fold: int = 2) -> dict:
-    """Learn from text and language of rows outside the held-out fold.
+def fit(docs: DataFrame, max_per_lang: int = 300, max_docs: int = 30_000, windows_per_doc: int = 4, folds: int = 4, held_out_fold: int = 2) -> dict:
+    """Learn from text and language of rows outside the held-out fold. Every language found there is learned.
 
-    The sample: for each of the max_langs most frequent languages the max_per_lang documents first in the order of a hash of their id, and
-    windows_per_doc windows of each at places drawn from that hash.
+    The sample: of each language the max_per_lang documents first in the order of a hash of their id (fewer, one at
+    least, where languages are so many that the whole would pass max_docs), and windows_per_doc windows of each at
+    places drawn from that hash.
     """
     from pyspark.sql import Window as W
 
     taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", folds) != held_out_fold) & F.col("doc_id").isNotNull())
-    counted = {r.lang: r["count"] for r in taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
-    if not counted:
+    counted = taught.groupBy("lang").agg(F.count("*").alias("n"))
+    n_langs = counted.count()
+    if not n_langs:
         return {"langs": []}
+    per_lang = max(1, min(max_per_lang, max_docs // n_langs))
     # A hash threshold per language leaves about three times the rows wanted, so that no large group is ranked.
-    share = F.lit(0.0)
-    for lang, n in counted.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 3 * max_per_lang / n)).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    near = taught.where(draw < share * (1 << 30)).select("lang", "doc_id", draw.alias("draw"), "text")
-    cuts = [F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for i in range(windows_per_doc)]
-    cut = near.select("lang", "doc_id", "draw", F.array(*cuts).alias("cuts"))
-    ranked = cut.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "cuts"))).where(F.col("rank") <= max_per_lang)
-    rows = sorted(ranked.select("lang", "draw", "doc_id", "cuts").collect(), key=lambda r: (r.lang, r.draw, r.doc_id, r.cuts))
-    langs = sorted(counted)
-    if len(langs) == 1 or not rows:
-        return {"langs": langs[:1]}
+    light = taught.select(F.col("lang").alias("language"), "doc_id", draw.alias("draw"), F.col("text").cast("string").alias("body"))
+    near = light.join(counted.withColumnRenamed("lang", "language"), "language").where(F.col("draw") < (F.lit(1 << 30) / F.col("n") * (3 * per_lang + 20)))
+    cuts = [F.substring("body", (F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.length("body") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for i in range(windows_per_doc)]
+    cut = near.select("language", "doc_id", "draw", F.array(*cuts).alias("cuts"))
+    ranked = cut.withColumn("place", F.row_number().over(W.partitionBy("language").orderBy("draw", "doc_id", "cuts"))).where(F.col("place") <= per_lang)
+    rows = sorted(ranked.select("language", "draw", "doc_id", "cuts").collect())
+    langs = sorted({r.language for r in rows})
+    if len(langs) < 2:
+        return {"langs": langs}
     texts = [c.encode()[:WINDOW] for r in rows for c in r.cuts]
-    y = np.array([langs.index(r.lang) for r in rows for _ in r.cuts])
+    number = {lang: k for k, lang in enumerate(langs)}
+    y = np.array([number[r.language] for r in rows for _ in r.cuts])
     windows, _ = windows_of(texts)
     return train(windows, y, langs)
 
