@@ -3,7 +3,8 @@
 Documents are tokenized and cut into pieces of at most `capacity` tokens; that is the only pass over texts. The
 histogram of piece lengths (at most `capacity` numbers, however large the corpus) goes to the driver, where best-fit
 decreasing runs over counts: all bins with the same room are one group, and each step fills a whole group or uses
-up a whole length. The plan is a list of ranges: pieces of one length with ranks from a to b take the sequences from
+up a whole length. Where that takes more sequences than the tokens need, a second plan fills one kind of sequence after
+the other as tightly as the lengths left allow, and the better plan is taken. The plan is a list of ranges: pieces of one length with ranks from a to b take the sequences from
 s on, at one offset. Its size depends on the capacity alone. Each piece then finds its slot by its rank within its
 length: the rank inside its input partition, counted while tokenizing, plus the number of such pieces in earlier
 partitions. No length, however frequent, is ranked in one task.
@@ -11,8 +12,9 @@ partitions. No length, however frequent, is ranked in one task.
 pack() plans over the whole table and heeds no order. pack_in_order() keeps the order in which the table is stored: it
 plans for each stretch of consecutive documents by itself, and numbers sequences stretch by stretch.
 
-Null and empty texts are one piece of one token (the end id). Repeated rows are packed each on its own. Extra columns
-aren't read. Null doc_id stays null. An empty table gives an empty result.
+Null and empty texts are one piece of one token (the end id). Very long texts are tokenized whole, one at a time.
+Repeated rows are packed each on its own; among pieces of one length those that come first in the input get the earlier
+slots. Extra columns aren't read. Null doc_id stays null. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -32,6 +35,9 @@ from .common import scratch_dir, store
 
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+LONG_RUN = 10_000
+_BLANK_RUN = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+
 
 def byte_alphabet() -> dict[str, int]:
     """The characters that byte-level vocabularies write for bytes: printable ones stand for themselves."""
@@ -40,19 +46,54 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_vocabulary(spec: dict) -> None:
+    """Fails unless the file is plain byte-level BPE whose ids are merge ranks: only then are the ids below those of the file."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    plain &= cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    plain &= not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+    plain &= not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not plain:
+        raise ValueError("not a plain byte-level BPE file")
+    vocab, pairs = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    if {vocab.get(c) for c in byte_alphabet()} != set(range(256)) or any(vocab.get(a + b) != 256 + rank for rank, (a, b) in enumerate(pairs)):
+        raise ValueError("ids are not merge ranks")
+
+
 def build_encoder(vocabulary: bytes):
     """text -> ids as numpy, equal to the ids of the tokenizers library for the same file.
 
-    A byte-level vocabulary numbers its tokens by merge rank, so the ranks are the ids; added tokens keep theirs.
+    A byte-level vocabulary numbers its tokens by merge rank, so the ranks are the ids; added tokens keep theirs. A file
+    of another kind is an error.
     """
     import tiktoken
 
     spec = json.loads(vocabulary)
+    check_vocabulary(spec)
     added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     alphabet = byte_alphabet()
     ranks = {bytes(alphabet[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in added}
     encoding = tiktoken.Encoding("byte-level", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+    one_piece = tiktoken.Encoding("one piece", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    plain = lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+    fixed = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(added, key=len, reverse=True))) if added else None
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) < LONG_RUN or not _BLANK_RUN.search(text):
+            return plain(text)
+        # The split pattern can't take in a very long run of blanks. It is one piece: all of it at the end of a text or
+        # before an added token, else all but its last blank, which belongs to what follows.
+        out = []
+        for part in filter(None, fixed.split(text)) if fixed else [text]:
+            at = 0
+            for run in _BLANK_RUN.finditer(part):
+                end = run.end() - (run.end() < len(part))
+                out += [plain(part[at : run.start()]), one_piece.encode_to_numpy(part[run.start() : end], disallowed_special=())]
+                at = end
+            out.append(plain(part[at:]))
+        return np.concatenate(out)
+
+    return encode
 
 
 _encoders: dict[int, object] = {}
@@ -106,8 +147,80 @@ def pieces(docs: DataFrame, vocabulary: bytes, capacity: int = 2048, end_id: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(n) for n, (_, c) in carry.items())).mapInArrow(run, schema)
 
 
+def sequences_of(rows: np.ndarray, histogram: dict[int, int]) -> int:
+    """How many sequences a plan fills."""
+    if not len(rows):
+        return 0
+    ends = np.append(rows[1:, 1], 0)
+    last = np.append(rows[1:, 0] != rows[:-1, 0], True)
+    ends[last] = [histogram[n] for n in rows[last, 0].tolist()]
+    return int((rows[:, 2] + ends - rows[:, 1]).max())
+
+
 def plan(histogram: dict[int, int], capacity: int = 2048) -> np.ndarray:
-    """Best-fit decreasing over counts. Rows: length, first rank, first sequence, offset; ranks run on to the next row."""
+    """A plan of few sequences: best-fit decreasing, or tightest filling where that takes fewer.
+
+    Rows: length, first rank, first sequence, offset; ranks run on to the next row.
+    """
+    first = best_fit_decreasing(histogram, capacity)
+    if sequences_of(first, histogram) * capacity - sum(n * c for n, c in histogram.items()) < capacity:
+        return first  # no plan has fewer
+    second = tightest_filling(histogram, capacity)
+    return min(first, second, key=lambda rows: sequences_of(rows, histogram))
+
+
+def tightest_filling(histogram: dict[int, int], capacity: int) -> np.ndarray:
+    """Best fit of whole sequences over counts: behind the longest length left goes the set of others that leaves the least room.
+
+    The set is found by subset sums, as bits of one integer; among equally good ones the longest lengths are taken, as
+    short ones fill gaps later. As many sequences as the counts allow get the same set, so the steps depend on the
+    number of lengths and not on the corpus.
+    """
+    left = {n: c for n, c in histogram.items() if c}
+    lengths = sorted(left, reverse=True)
+    rank = dict.fromkeys(lengths, 0)
+    rows, sequences = [], 0
+    while left:
+        lengths = [n for n in lengths if n in left]
+        chosen = {lengths[0]: 1}
+        room = capacity - lengths[0]
+        mask = (1 << (room + 1)) - 1
+        items = [(n, min(left[n] - (n == lengths[0]), room // n)) for n in lengths if n <= room]
+        reach = [1]  # sums of the items from the shortest on
+        for n, count in reversed(items):
+            sums, step = reach[-1], 1
+            while count > 0:  # counts in powers of two
+                take = min(step, count)
+                sums |= (sums << (n * take)) & mask
+                count, step = count - take, step * 2
+            reach.append(sums)
+        goal = reach[-1].bit_length() - 1
+        for k, (n, count) in enumerate(items):
+            if not goal:
+                break
+            behind = reach[len(items) - 1 - k]
+            take = min(count, goal // n)
+            while not behind >> (goal - take * n) & 1:
+                take -= 1
+            if take:
+                chosen[n] = chosen.get(n, 0) + take
+                goal -= take * n
+        times, offset = min(left[n] // m for n, m in chosen.items()), 0
+        for n, m in chosen.items():
+            for _ in range(m):
+                rows.append((n, rank[n], sequences, offset))
+                rank[n] += times
+                offset += n
+            left[n] -= m * times
+            if not left[n]:
+                del left[n]
+        sequences += times
+    out = np.array(rows, dtype=np.int64).reshape(-1, 4)
+    return out[np.lexsort((out[:, 1], out[:, 0]))]
+
+
+def best_fit_decreasing(histogram: dict[int, int], capacity: int = 2048) -> np.ndarray:
+    """Best-fit decreasing over counts."""
     room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by room left: (first sequence, count)
     rows, sequences = [], 0
     for length in sorted(histogram, reverse=True):
