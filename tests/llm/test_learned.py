@@ -132,7 +132,7 @@ def test_dim_scan(spark):
     stored = [(r.vec_id, r.embedding) for r in table.collect()]
     want = brute_nearest(stored, 20)
     got = {}
-    for r in sorted(dim_scan.search(table, F.col("vec_id") % 20 == 0, chunk_vectors=100, query_block=10).collect(), key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(dim_scan.search(table, F.col("vec_id") % 20 == 0, group_vectors=100, query_block=10).collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
     assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) > 0.9
@@ -150,12 +150,29 @@ def test_dim_scan_small_tables(spark, empty):
 
 
 def test_scan_keeps_what_is_near():
+    """Stretch by stretch, with a bound that tightens: nearly all of the true nearest, and far fewer multiplications than all."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(400, 64))
-    q = rng.normal(size=64)
-    d = np.sqrt(((x - q) ** 2).sum(1))
-    bound = np.sort(d)[19]
-    blocks = [x[:, i : i + 16] for i in range(0, 64, 16)]
-    kept = dim_scan.scan(q, blocks, bound, 2.1)
-    assert len(set(np.argsort(d)[:20]) & set(kept.tolist())) >= 19 and len(kept) <= 21
-    assert len(dim_scan.scan(q, blocks, float("inf"), 2.1)) == 400
+    x = rng.normal(size=(4000, 64)) * np.linspace(2, 0.2, 64)
+    q = x[:8] + 0.3 * rng.normal(size=(8, 64)) * np.linspace(2, 0.2, 64)
+    m2 = (x**2).sum(1).max()
+    lift = lambda v, extra: np.hstack((v, extra[:, None]))
+    xl, ql = lift(x, np.sqrt(m2 - (x**2).sum(1))), lift(q, np.zeros(8))
+    ids = np.arange(4000)
+    best = dim_scan.Best(8, 20, np.full(8, np.inf), (q**2).sum(1) + m2)
+    work = dim_scan.scan(best, np.arange(8), ql, q, xl, x, ids, ids, np.full(8, -1), 2.1)
+    exact = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best.row, exact, strict=True)]) > 0.95
+    assert work < 0.9 * 8 * 4000 * 65
+    whole = dim_scan.Best(8, 20, np.full(8, np.inf), (q**2).sum(1) + m2)
+    dim_scan.scan(whole, np.arange(8), ql, q, xl, x, ids, ids, np.full(8, -1), 1e9)
+    assert (whole.row == exact).all()
+
+
+def test_probe_share_follows_the_data():
+    rng = np.random.default_rng(4)
+    clustered = np.repeat(rng.normal(size=(40, 16)) * 4, 50, axis=0) + 0.1 * rng.normal(size=(2000, 16))
+    shares = []
+    for x in (clustered, rng.normal(size=(2000, 16))):
+        centers = dim_scan.kmeans(x, 40)
+        shares.append(dim_scan.probe_share_of(x, dim_scan.nearest(x, centers)[0], centers, 20, 0.95))
+    assert shares[0] < 0.15 < shares[1] <= 1
