@@ -11,8 +11,9 @@ Every document gets a slot; none is dropped or repeated. The bound holds up to t
 without a block left (on_target); from there on the blocks of other sources still go within their release and
 deadline, and slots that none of them takes stay empty.
 
-A null source is a source of its own. Null or empty texts are documents like others. Repeated rows each have a place.
-Extra columns pass through. An empty table gives an empty result.
+A null source is a source of its own. Null, empty or very long texts are documents like others, and so are null doc_ids. Repeated rows each have a
+place; rows with equal hashes are ordered by doc_id, equal rows in any order. Extra columns pass through mixed, whatever their names. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def schedule(weights: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[
 
 
 def _schedule_table(spark, weights: dict[str, int], blocks: dict[str, int]) -> DataFrame:
-    names = ["_source", "_block", "_slot", "_release", "_deadline", "_on_target"]
+    names = ["of", "block", "slot", "release", "deadline", "on_target"]
 
     def run(batches):
         for batch in batches:
@@ -94,20 +95,24 @@ def _schedule_table(spark, weights: dict[str, int], blocks: dict[str, int]) -> D
             while part := list(islice(rows, 10_000)):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], names)
 
-    return spark.range(0, 1, 1, 1).mapInArrow(run, "_source string, _block long, _slot long, _release long, _deadline long, _on_target boolean")
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "of string, block long, slot long, release long, deadline long, on_target boolean")
 
 
-def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block_docs: int = 32, granularity: int | None = None) -> DataFrame:
-    """docs with _source, _block, _slot, _release, _deadline, _place and _on_target.
+def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block_docs: int = 32, granularity: int | None = None, max_sources: int = 1_000_000) -> DataFrame:
+    """row (a struct of the columns of docs), block, slot, release, deadline, place and on_target of every row of docs.
 
     Without weights, a source's target is its number of documents to the power alpha. Targets are exact; with a
-    granularity they are whole shares of that many slots.
+    granularity they are whole shares of that many slots. One number for each source goes to the driver, so more than
+    max_sources sources are an error.
     """
     name = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source").cast("string")))
     draw = F.xxhash64(F.lit(17), F.col("doc_id"), F.col("text"))
-    keyed = docs.withColumns({"_source": name, "_draw": draw}).withColumn("_range", F.shiftrightunsigned("_draw", 64 - RANGE_BITS).cast("int"))
-    counts = keyed.groupBy("_source", "_range").agg(F.count("*").alias("_n"))
-    supply = {r._source: r.n for r in counts.groupBy("_source").agg(F.sum("_n").alias("n")).collect()}
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), name.alias("of"), draw.alias("draw"))
+    keyed = packed.withColumn("range", F.shiftrightunsigned("draw", 64 - RANGE_BITS).cast("int"))
+    counts = keyed.groupBy("of", "range").agg(F.count("*").alias("n"))
+    supply = {r.of: r.n for r in counts.groupBy("of").agg(F.sum("n").alias("n")).limit(max_sources + 1).collect()}
+    if len(supply) > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
     if weights is None:
         wanted = {k: n**alpha for k, n in supply.items()}
     else:
@@ -123,25 +128,25 @@ def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, a
         raise ValueError("a target weight is too small: slots pass 64 bits")
 
     # One row for each hash range of a source: what stands before it, and the places of its blocks.
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("_source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.withColumn("_before", before).withColumn("_first", F.floor(F.col("_before") / block_docs))
-    spans = offsets.withColumn("_block", F.explode(F.sequence("_first", F.floor((F.col("_before") + F.col("_n") - 1) / block_docs))))
-    found = spans.join(_schedule_table(docs.sparkSession, share, blocks), ["_source", "_block"])
-    places = found.groupBy("_source", "_range", "_before", "_first").agg(F.sort_array(F.collect_list(F.struct("_block", "_slot", "_release", "_deadline", "_on_target"))).alias("_spans"))
-    ranked = keyed.withColumn("_at", F.row_number().over(W.partitionBy("_source", "_range").orderBy("_draw", "doc_id")) - 1)
-    placed = ranked.join(places, ["_source", "_range"]).withColumn("_rank", F.col("_at") + F.col("_before"))
-    placed = placed.withColumns({"_block": F.floor(F.col("_rank") / block_docs), "_place": (F.col("_rank") % block_docs).cast("int")})
-    span = F.element_at("_spans", (F.col("_block") - F.col("_first") + 1).cast("int"))
-    return placed.withColumn("_span", span).withColumns({n: F.col("_span")[n] for n in ("_slot", "_release", "_deadline", "_on_target")}).drop("_spans", "_span")
+    before = F.coalesce(F.sum("n").over(W.partitionBy("of").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn("before", before).withColumn("first", F.floor(F.col("before") / block_docs))
+    spans = offsets.withColumn("block", F.explode(F.sequence("first", F.floor((F.col("before") + F.col("n") - 1) / block_docs))))
+    found = spans.join(_schedule_table(docs.sparkSession, share, blocks), ["of", "block"])
+    places = found.groupBy("of", "range", "before", "first").agg(F.sort_array(F.collect_list(F.struct("block", "slot", "release", "deadline", "on_target"))).alias("spans"))
+    ranked = keyed.withColumn("at", F.row_number().over(W.partitionBy("of", "range").orderBy("draw", "row.doc_id")) - 1)
+    placed = ranked.join(places, ["of", "range"]).withColumn("rank", F.col("at") + F.col("before"))
+    placed = placed.withColumns({"block": F.floor(F.col("rank") / block_docs), "place": (F.col("rank") % block_docs).cast("int")})
+    span = F.element_at("spans", (F.col("block") - F.col("first") + 1).cast("int"))
+    return placed.withColumn("span", span).select("row", "block", "span.slot", "span.release", "span.deadline", "place", "span.on_target")
 
 
 def order(docs: DataFrame, **targets) -> DataFrame:
     """doc_id, source, block, slot, release, deadline, place and on_target of every row."""
     out = scheduled(docs.select("doc_id", "source", F.xxhash64("text").alias("text")), **targets)
     names = ("block", "slot", "release", "deadline")
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "source", *(F.col(f"_{n}").cast("long").alias(n) for n in names), F.col("_place").alias("place"), F.col("_on_target").alias("on_target"))
+    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "row.source", *(F.col(n).cast("long").alias(n) for n in names), "place", "on_target")
 
 
 def mixed(docs: DataFrame, **targets) -> DataFrame:
     """docs, all rows and columns, in the order of the mix: partitions hold consecutive ranges of slots."""
-    return scheduled(docs, **targets).repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(*docs.columns)
+    return scheduled(docs, **targets).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
