@@ -1,32 +1,37 @@
 """Line dedup, native: levelled sorted runs of line hashes.
 
 An index of line keys lives in sorted runs on shared storage. Each new batch of documents is reduced to its keys
-(with the number of documents that hold a key and the largest id among them), merge-anti-joined with every run to
+(with the number of lines and of documents that hold a key and the largest id among them), merge-anti-joined with every run to
 find the keys that no run knows, and added as a run of its own at level 0. Keys that some run knows already add
 to the counts in a small delta beside the run. When a level holds `fanout` runs, they are merged into one run of the
-next level, so a key is rewritten once for each level, and a batch meets few runs. Runs are bucketed and sorted by
-hash: the merge joins move the batch, not the runs.
+next level, so a key is rewritten once for each level, and a batch meets few runs. Runs are bucketed by hash, one sorted file
+for each bucket: the anti-joins move the batch, not the runs, and a compaction is merge joins of runs, bucket by bucket, without
+any shuffle.
 
 Keys are 128 bits of xxhash64 over the stripped line with A-Z lower-cased. Only keys of min_chars code points count.
 A key found in min_docs documents or more loses all its lines but those of the largest doc_id that holds it.
 
 Null and empty texts are one empty line, never dropped. Rows with a null doc_id don't count as documents and never
 are the largest; they lose lines of such keys. Repeated rows of one doc_id are one document in the counts, and each
-row is cleaned. Extra columns pass through clean() untouched. An empty table gives an empty result.
+row is cleaned; all lines of a key in its largest doc_id stay. Very long texts are split and joined as arrays, whole. Extra columns pass
+through clean() untouched, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, discard, scratch_dir, store
+from .common import BLANKS, Scratch, discard, join_counted
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
-SALTS = 16
+COUNTS = ["n_lines", "n_docs", "max_doc"]
+#: Documents that lose lines, as two numbers each, that may be broadcast: some 5 MB.
+BROADCAST_ROWS = 250_000
 
 
 def line_key(line: Column) -> Column:
@@ -35,10 +40,6 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def text_lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
-
-
 def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, text_hash, place and key hashes of every line whose key is long enough."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -48,27 +49,49 @@ def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def batch_keys(lines: DataFrame) -> DataFrame:
-    """Keys of a batch: documents that hold them and the largest id. Both steps combine before they shuffle."""
-    return lines.where(F.col("doc_id").isNotNull()).groupBy(*KEY, "doc_id").agg(F.lit(1).alias("one")).groupBy(*KEY).agg(F.sum("one").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-
-
-def merged(parts: DataFrame) -> DataFrame:
-    return parts.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+    """Keys of a batch: lines and documents that hold them and the largest id. Both steps combine before they shuffle."""
+    per_doc = lines.groupBy(*KEY, "doc_id").agg(F.count("*").alias("n"))
+    return per_doc.groupBy(*KEY).agg(F.sum("n").alias("n_lines"), F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
 
 
 class LineRuns:
-    """The levelled index: unknown() gives the keys of a batch that no run knows, add() takes a batch in."""
+    """The levelled index: unknown() gives the keys of a batch that no run knows, add() takes a batch in.
+
+    A context: its tables go when the block ends, also by an error.
+    """
 
     def __init__(self, spark: SparkSession, place: str, fanout: int = 4, buckets: int | None = None):
         self.spark, self.place, self.fanout = spark, place, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.deltas: list[str] = []
+        self.written: set[str] = set()
         self.tag = uuid.uuid4().hex
 
-    def _write(self, keys: DataFrame) -> str:
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._drop(list(self.written))
+        self.levels, self.deltas = [], []
+
+    @contextlib.contextmanager
+    def _sorted_scans(self):
+        """Let scans of runs say that a bucket, one file, is sorted: joins then merge without sorting again."""
+        name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
+    def _write(self, keys: DataFrame, dealt: bool = False) -> str:
+        """A run of keys; dealt: rows of a bucket are in one partition already."""
         name = f"line_run_{self.tag}_{uuid.uuid4().hex}"
-        keys = keys.select(*KEY, "n_docs", "max_doc").repartition(self.buckets, *KEY)
+        self.written.add(name)
+        keys = keys.select(*KEY, *COUNTS)
+        keys = keys if dealt else keys.repartition(self.buckets, *KEY)
         keys.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.place}/{name}").saveAsTable(name)
         return name
 
@@ -77,14 +100,15 @@ class LineRuns:
 
     def unknown(self, keys: DataFrame) -> DataFrame:
         for name in self._runs():
-            keys = keys.join(self.spark.table(name), KEY, "left_anti")
+            keys = keys.join(self.spark.table(name).hint("merge"), KEY, "left_anti")
         return keys
 
     def add(self, keys: DataFrame) -> None:
         known = bool(self._runs())
-        run = self._write(self.unknown(keys))
-        if known:
-            self.deltas.append(self._write(keys.join(self.spark.table(run), KEY, "left_anti")))
+        with self._sorted_scans():
+            run = self._write(self.unknown(keys))
+            if known:
+                self.deltas.append(self._write(keys.join(self.spark.table(run).hint("merge"), KEY, "left_anti")))
         self._push(0, run)
 
     def _push(self, level: int, run: str) -> None:
@@ -92,72 +116,96 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            old = self.levels[level] + self.deltas
-            one = self._write(merged(self._union(old)))
+            one = self._compacted(self.levels[level] + self.deltas)
             self.levels[level], self.deltas = [], []
-            self._drop(old)
             self._push(level + 1, one)
 
-    def _union(self, names: list[str]) -> DataFrame:
-        """Read by path, not as tables: a union of bucketed scans may claim a partitioning that it doesn't have."""
-        return self.spark.read.schema("h1 long, h2 long, n_docs long, max_doc long").parquet(*(f"{self.place}/{name}" for name in names))
+    def _compacted(self, names: list[str]) -> str:
+        """One run of several: pairs of runs are merged, then pairs of the results."""
+        while len(names) > 1:
+            merged = []
+            for a, b in zip(names[::2], names[1::2]):
+                with self._sorted_scans():
+                    left = self.spark.table(a).hint("merge").select(*KEY, *(F.col(c).alias(f"{c}_a") for c in COUNTS))
+                    right = self.spark.table(b).select(*KEY, *(F.col(c).alias(f"{c}_b") for c in COUNTS))
+                    both = left.join(right, KEY, "full")
+                    total = lambda c: (F.coalesce(F.col(f"{c}_a"), F.lit(0)) + F.coalesce(F.col(f"{c}_b"), F.lit(0))).alias(c)
+                    merged.append(self._write(both.select(*KEY, total("n_lines"), total("n_docs"), F.greatest("max_doc_a", "max_doc_b").alias("max_doc")), dealt=True))
+                self._drop([a, b])
+            names = merged + names[len(names) // 2 * 2 :]
+        return names[0]
 
     def totals(self) -> DataFrame:
-        return merged(self._union(self._runs() + self.deltas))
+        """The counts of all keys: everything is compacted into one run."""
+        names = self._runs() + self.deltas
+        if not names:
+            return self.spark.createDataFrame([], "h1 long, h2 long, n_lines long, n_docs long, max_doc long")
+        one = self._compacted(names)
+        self.levels, self.deltas = [[one]], []
+        return self.spark.table(one)
 
     def _drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             discard(self.spark, f"{self.place}/{name}")
+            self.written.discard(name)
 
-    def close(self) -> None:
-        self._drop(self._runs() + self.deltas)
-        self.levels, self.deltas = [], []
 
-
-def dropped_places(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
+def dropped_places(docs: DataFrame, scratch: Scratch, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
     """doc_id, text_hash and the sorted places of the lines that go, for documents that lose any."""
     spark = docs.sparkSession
-    place = scratch_dir(spark)
-    intake = store(keyed_lines(docs, min_chars).withColumn("batch", F.pmod(F.hash("doc_id"), F.lit(batches))), f"{place}/intake")
-    index = LineRuns(spark, place, fanout)
-    for b in range(batches):
-        index.add(batch_keys(intake.where(F.col("batch") == b)))
-    common = store(index.totals().where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc"), f"{place}/common")
-    index.close()
-    # A key may be on a third of all lines: its lines are dealt over salts, and its one row is copied to each.
-    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
-    lines = intake.withColumn("salt", F.pmod(F.hash("doc_id", "place"), F.lit(SALTS)))
-    gone = lines.join(salted, [*KEY, "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
-    return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("places"))
-
-
-def with_kept(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """docs with _n_lines, _n_dropped and _kept. Kept lines are slices between dropped places: linear in the text."""
-    left = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    right = places.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"), F.col("places").alias("_places"))
-    both = left.join(right, left["_doc"].eqNullSafe(right["_id"]) & (left["_hash"] == right["_text_hash"]), "left")
+    intake = scratch.keep(keyed_lines(docs, min_chars).withColumn("batch", F.pmod(F.hash("doc_id"), F.lit(batches))), "intake")
+    with LineRuns(spark, scratch.path, fanout) as index:
+        for b in range(batches):
+            index.add(batch_keys(intake.where(F.col("batch") == b)))
+        common = scratch.keep(index.totals().where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc", F.col("n_lines").alias("rows"), F.lit(True).alias("common")), "common")
+    # A key may be on a third of all lines: such keys are known on the map side.
+    met = join_counted(intake.select("doc_id", "text_hash", "place", *KEY), common, KEY, intake.count())
+    gone = met.where(F.col("common") & ~F.col("doc_id").eqNullSafe(F.col("max_doc")))
+    return scratch.keep(gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("places")), "places", result=True)
+
+
+def _with_kept(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """row (a struct of the columns of docs), n_lines, n_dropped and kept. Kept lines are slices between dropped places: linear in the text.
+
+    Documents that lose no line stay where they are, if the ids of those that do are few enough to broadcast, which is counted first.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("body"))
+    right = places.select(F.col("doc_id").alias("at"), F.col("text_hash").alias("of"), "places")
+    on = lambda df, other: df["id"].eqNullSafe(other["at"]) & (df["hash"] == other["of"])
+    if places.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(right.select("at", "of"))
+        calm = packed.join(ids, on(packed, ids), "left_anti").withColumn("places", F.lit(None).cast("array<int>"))
+        hit = packed.join(ids, on(packed, ids), "left_semi")
+        both = calm.unionByName(hit.join(right, on(hit, right), "left").drop("at", "of"))
+    else:
+        both = packed.join(right, on(packed, right), "left").drop("at", "of")
     kept = F.expr(
-        """CASE WHEN _places IS NULL THEN coalesce(text, '') ELSE
-           element_at(transform(array(split(text, '\\n')), l -> array_join(flatten(zip_with(
-             concat(array(-1), _places), concat(_places, array(size(l))),
+        """CASE WHEN places IS NULL THEN body ELSE
+           element_at(transform(array(split(body, '\\n')), l -> array_join(flatten(zip_with(
+             concat(array(-1), places), concat(places, array(size(l))),
              (a, b) -> slice(l, a + 2, b - a - 1))), '\\n')), 1) END"""
     )
-    return both.withColumns({"_n_lines": F.size(text_lines(F.col("text"))).cast("long"), "_n_dropped": F.coalesce(F.size("_places"), F.lit(0)).cast("long"), "_kept": kept}).drop("_doc", "_hash", "_id", "_text_hash", "_places")
+    return both.select("row", "body", F.size(F.split("body", "\n")).cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
 def digest(docs: DataFrame, **rule) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 of every row."""
-    out = with_kept(docs.select("doc_id", "text"), dropped_places(docs, **rule))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+    with Scratch(docs.sparkSession) as scratch:
+        out = _with_kept(docs.select("doc_id", "text"), dropped_places(docs, scratch, **rule))
+    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def clean(docs: DataFrame, **rule) -> DataFrame:
     """docs with the lines dropped from text, and n_chars, where there is one, set anew. All rows stay."""
-    out = with_kept(docs, dropped_places(docs, **rule)).withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("_kept")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    with Scratch(docs.sparkSession) as scratch:
+        out = _with_kept(docs, dropped_places(docs, scratch, **rule))
+    kind = {f.name: f.dataType for f in docs.schema.fields}
+    row = F.col("row").withField("text", F.when(F.col("row.text").isNull(), F.col("row.text")).otherwise(F.col("kept")))
+    if "n_chars" in kind:
+        row = row.withField("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("kept").cast(kind["n_chars"])).otherwise(F.col("row.n_chars")))
+    return out.select(row.alias("row")).select("row.*")
 
 
 DIGEST_SQL = """
