@@ -37,10 +37,10 @@ _JSD = "sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i:
 
 DIVERGENCE = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, text IS NULL AS missing, coalesce(text, '') AS t FROM documents),
-langs AS (SELECT lang FROM d WHERE lang IS NOT NULL AND NOT missing GROUP BY lang HAVING count(*) >= 20 ORDER BY count(*) DESC, lang LIMIT 100),
+langs AS (SELECT lang FROM d WHERE lang IS NOT NULL AND NOT missing GROUP BY lang HAVING count(*) >= 20),
 k AS (SELECT rid, doc_id, t, CASE WHEN lang IN (SELECT lang FROM langs) THEN lang ELSE '*' END AS ref, {_WORDS.format('t')} AS ws,
         list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
-b AS (SELECT rid, doc_id, ref, ws, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) AS n_chars, strlen(t) - length(t) AS wide,
+b AS (SELECT rid, doc_id, ref, ws, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) AS n_chars, len(regexp_extract_all(t, '[^\\x00-\\x7F]')) AS wide,
         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '[A-Z]')) AS upper, len(regexp_extract_all(t, '[0-9]')) AS digit,
         len(regexp_extract_all(t, '[.,;:!?''"()-]')) AS mark, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM k),
 win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM (SELECT rid, i, array_to_string(ws[i + 1 : i + 8], ' ') AS g FROM (SELECT rid, ws, unnest(range(greatest(n_words - 7, 0))) AS i FROM b))),
@@ -51,7 +51,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY n DESC, w) - 1 AS
 tot AS (SELECT ref, sum(n) AS total FROM every GROUP BY ref),
 refs AS (SELECT ref FROM (SELECT lang AS ref FROM langs UNION ALL SELECT '*') z),
 wq AS (SELECT refs.ref, list(coalesce(top.n / tot.total, 0)::DOUBLE ORDER BY g.r) AS q FROM refs CROSS JOIN range(24) g(r) LEFT JOIN top ON top.ref = refs.ref AND top.r = g.r LEFT JOIN tot ON tot.ref = refs.ref GROUP BY refs.ref),
-cl AS (SELECT rid, ref, [upper, digit, mark, n_symbols, n_chars - word_chars, wide, greatest(n_chars - upper - digit - mark - n_symbols - (n_chars - word_chars) - wide, 0)] AS v FROM b),
+cl AS (SELECT rid, ref, [upper, digit, mark, n_symbols, n_chars - word_chars, wide, n_chars - upper - digit - mark - n_symbols - (n_chars - word_chars) - wide] AS v FROM b),
 cs AS (SELECT ref, list(s ORDER BY j) AS v FROM (SELECT refs.ref, j, sum(cl.v[j + 1]) AS s FROM refs JOIN cl ON refs.ref = cl.ref OR refs.ref = '*', range(7) g(j) GROUP BY refs.ref, j) GROUP BY ref),
 hit AS (SELECT rid, r, count(*) AS n FROM (SELECT rid, ref, unnest(ws) AS w FROM b) x JOIN top USING (ref, w) GROUP BY rid, r),
 wp AS (SELECT b.rid, list(coalesce(hit.n, 0)::DOUBLE / greatest(b.n_words, 1) ORDER BY g.r) AS p FROM b CROSS JOIN range(24) g(r) LEFT JOIN hit ON hit.rid = b.rid AND hit.r = g.r GROUP BY b.rid),
