@@ -92,6 +92,31 @@ def spell_numbers(spark, sf_dir):
     return n.select("n", numbers.int_words(F.col("n")).alias("words"))
 
 
+def _below_thousand_sql(v: str) -> str:
+    return f"""concat_ws(' ', CASE WHEN {v} >= 100 THEN ({_ONES_SQL})[{v} // 100 + 1] || ' hundred' END, CASE WHEN {v} % 100 = 0 THEN NULL WHEN {v} % 100 < 20 THEN ({_ONES_SQL})[{v} % 100 + 1]
+ WHEN {v} % 10 = 0 THEN ({_TENS_SQL})[{v} % 100 // 10 - 1] ELSE ({_TENS_SQL})[{v} % 100 // 10 - 1] || ' ' || ({_ONES_SQL})[{v} % 10 + 1] END)"""
+
+
+def _int_words_sql(v: str) -> str:
+    """Words for a whole number, not negative and below a million."""
+    return f"CASE WHEN {v} = 0 THEN 'zero' WHEN {v} < 1000 THEN {_below_thousand_sql(v)} ELSE trim({_below_thousand_sql(f'({v} // 1000)')} || ' thousand ' || {_below_thousand_sql(f'({v} % 1000)')}) END"
+
+
+@query(rf"""WITH o AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS p, o_orderkey % 101 AS q, o_custkey AS c, o_orderkey * 97 AS z FROM orders),
+x AS (SELECT *, CASE WHEN p % 7 = 0 THEN p::VARCHAR ELSE format('{{:,}}', p) || '.' || lpad((p % 100)::VARCHAR, 2, '0') END AS price, z::VARCHAR AS zs FROM o),
+d AS (SELECT *, CASE WHEN p % 7 = 0 THEN {_int_words_sql('p')} ELSE {_int_words_sql('p')} || ' point ' || ({_ONES_SQL})[p % 100 // 10 + 1] || ' ' || ({_ONES_SQL})[p % 10 + 1] END AS price_words FROM x)
+SELECT o_orderkey, 'paid ' || regexp_replace(price, '[,.]', ' ', 'g') || ' and ' || q || ' for ' || c || ' or ' || zs AS as_reference,
+ 'paid ' || price_words || ' and ' || {_int_words_sql('q')} || ' percent for ' || c || ' or ' || CASE WHEN z < 1000000 THEN {_int_words_sql('z')} ELSE zs END AS as_hypothesis FROM d""")
+def spoken_numbers(spark, sf_dir):
+    """One text as reference, where digits stay, and as hypothesis, where currency, decimals, commas and percents are spelled."""
+    o = _t(spark, sf_dir, "orders")
+    p = F.floor("o_totalprice").cast("long")
+    price = F.when(p % 7 == 0, p.cast("string")).otherwise(F.concat(F.format_number(p, 0), F.lit("."), F.lpad((p % 100).cast("string"), 2, "0")))
+    body = F.concat(F.lit("Paid $"), price, F.lit(" and "), F.col("o_orderkey") % 101, F.lit("% for #"), F.col("o_custkey"), F.lit(" or "), F.col("o_orderkey") * 97)
+    said = lambda reference: F.array_join(normalize.tokens(F.col("body"), reference=reference), " ")
+    return o.select("o_orderkey", body.alias("body")).select("o_orderkey", said(True).alias("as_reference"), said(False).alias("as_hypothesis"))
+
+
 _PUNCT_SQL = "'" + normalize.PUNCTUATION.replace("'", "''") + "'"
 
 
@@ -119,13 +144,59 @@ def turn_pairs(spark, sf_dir) -> DataFrame:
 _PAIRS_SQL = "SELECT u.conv_id, u.turn, u.text AS ref, a.text AS hyp FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'"
 
 
-@query()
+def _line_tokens_sql(text: str) -> str:
+    """A list of token lists, one for each line with tokens."""
+    bare = rf"regexp_replace(lower(regexp_replace(l, '[\[({{][^\])}}]*[\])}}]', ' ', 'g')), '[-–—]', ' ', 'g')"
+    pieces = rf"list_filter(list_transform(flatten(list_transform({_SPLIT_SQL.format(bare)}, lambda w: string_split(regexp_replace(replace(w, '’', ''''), '[^\p{{L}}\p{{N}}_'']+', ' ', 'g'), ' '))), lambda q: trim(q, '''')), lambda q: q <> '')"
+    return rf"list_filter(list_transform(string_split_regex({text}, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]'), lambda l: {pieces}), lambda x: len(x) > 0)"
+
+
+#: Characters beyond ASCII of the table, as ones that no token has: levenshtein counts bytes.
+_WIDE_SQL = "translate({0}, 'ßäçèéêíñóöüàâîôûëïùú', 'ABCDEFGHIJKLMNOPQRST')"
+
+
+def _aligned_sql(pairs: str, keys: str, r: str, h: str) -> str:
+    """Recursive CTEs up to `al`: keys, lines, r, h, cost and path (m, s, d, i) of a cheapest alignment of two token lists.
+
+    A row of the table of costs for each token of r. Along a row, the running minimum of cost less column carries
+    insertions; a cell that isn't reached by one takes a match before a substitution, that before a deletion.
+    """
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    of = lambda t: ", ".join(f"{t}.{k}" for k in keys.split(", "))
+    return f"""WITH RECURSIVE p AS (SELECT *, {r} AS r, {h} AS h FROM ({pairs})),
+dp AS (
+ SELECT {keys}, 0::BIGINT AS i, j, j AS cost, repeat('i', j) AS path FROM (SELECT {keys}, unnest(range(len(h) + 1)) AS j FROM p)
+ UNION ALL
+ SELECT {keys}, i, j, cost, a.path || repeat('i', j - a.j) FROM (
+  SELECT *, last_value(CASE WHEN base = cost THEN {{'j': j, 'path': bpath}} END IGNORE NULLS) OVER w AS a FROM (
+   SELECT {keys}, i, j, base, bpath, j + min(base - j) OVER (PARTITION BY {keys} ORDER BY j) AS cost FROM (
+    SELECT {keys}, i, j, CASE WHEN j = 0 THEN up + 1 WHEN eq THEN diag ELSE least(diag, up) + 1 END AS base,
+           CASE WHEN j = 0 THEN upath || 'd' WHEN eq THEN dpath || 'm' WHEN diag <= up THEN dpath || 's' ELSE upath || 'd' END AS bpath FROM (
+     SELECT {of('dp')}, dp.i + 1 AS i, dp.j, dp.cost AS up, dp.path AS upath, lag(dp.cost) OVER v AS diag, lag(dp.path) OVER v AS dpath, p.r[dp.i + 1] = p.h[dp.j] AS eq
+     FROM dp JOIN p ON {on('p', 'dp')} WHERE dp.i < len(p.r) WINDOW v AS (PARTITION BY {of('dp')} ORDER BY dp.j))))
+  WINDOW w AS (PARTITION BY {keys} ORDER BY j ROWS UNBOUNDED PRECEDING))
+),
+al AS (SELECT p.*, dp.cost, dp.path, (length(dp.path) - length(replace(dp.path, 's', '')))::BIGINT AS s, (length(dp.path) - length(replace(dp.path, 'd', '')))::BIGINT AS d,
+ (length(dp.path) - length(replace(dp.path, 'i', '')))::BIGINT AS i, (length(dp.path) - length(replace(dp.path, 'm', '')))::BIGINT AS c
+ FROM dp JOIN p ON {on('p', 'dp')} AND dp.i = len(p.r) AND dp.j = len(p.h))"""
+
+
+def _lined_sql(pairs: str) -> str:
+    return f"SELECT * FROM (SELECT *, {_line_tokens_sql('ref')} AS lines, flatten({_line_tokens_sql('hyp')}) AS hyp_tokens FROM ({pairs})) WHERE len(lines) > 0"
+
+
+_TURN_ALIGNED = _aligned_sql(_lined_sql(_PAIRS_SQL), "conv_id, turn", "flatten(lines)", "hyp_tokens")
+_FOUR_SQL = "s AS n_sub, d AS n_del, i AS n_ins, c AS n_match"
+
+
+@query(_TURN_ALIGNED + f""" SELECT conv_id, turn, {_FOUR_SQL}, (s + d + c)::BIGINT AS n_ref, (s + d + i)::DOUBLE / (s + d + c)::DOUBLE AS wer, (s + d + i)::DOUBLE / (s + d + i + c)::DOUBLE AS mer,
+ levenshtein({_WIDE_SQL.format("array_to_string(r, ' ')")}, {_WIDE_SQL.format("array_to_string(h, ' ')")})::DOUBLE / greatest(length(array_to_string(r, ' ')), 1)::DOUBLE AS cer FROM al""")
 def pair_wer(spark, sf_dir):
     scored = metrics.score_pairs(turn_pairs(spark, sf_dir))
     return scored.select("conv_id", "turn", *metrics.COUNTS, "n_ref", "wer", "mer", "cer")
 
 
-@query()
+@query(_aligned_sql(f"SELECT *, flatten({_line_tokens_sql('ref')}) AS r0, flatten({_line_tokens_sql('hyp')}) AS h0 FROM ({_PAIRS_SQL})", "conv_id, turn", "r0", "h0") + f" SELECT conv_id, turn, {_FOUR_SQL}, cost::BIGINT AS distance FROM al")
 def pair_totals(spark, sf_dir):
     """Distance by the native path, beside the counts of the operations."""
     toks = turn_pairs(spark, sf_dir).withColumns({"r": normalize.tokens(F.col("ref")), "h": normalize.tokens(F.col("hyp"))})
@@ -133,15 +204,74 @@ def pair_totals(spark, sf_dir):
     return out.select("conv_id", "turn", *alignment.counts(F.col("ops")), _long(alignment.token_distance(F.col("r"), F.col("h")), "distance"))
 
 
-@query()
+@query(_TURN_ALIGNED + """, g AS (SELECT conv_id % 7 AS category, sum(s)::BIGINT AS n_sub, sum(d)::BIGINT AS n_del, sum(i)::BIGINT AS n_ins, sum(c)::BIGINT AS n_match FROM al GROUP BY ROLLUP (conv_id % 7))
+SELECT category, n_sub, n_del, n_ins, n_match, (n_sub + n_del + n_match)::BIGINT AS n_ref, round((n_sub + n_del + n_ins)::DOUBLE / (n_sub + n_del + n_match)::DOUBLE, 4) AS wer, round((n_sub + n_del + n_ins)::DOUBLE / (n_sub + n_del + n_ins + n_match)::DOUBLE, 4) AS mer,
+ round(n_sub::DOUBLE / (n_sub + n_del + n_match)::DOUBLE, 4) AS sub_rate, round(n_del::DOUBLE / (n_sub + n_del + n_match)::DOUBLE, 4) AS del_rate, round(n_ins::DOUBLE / (n_sub + n_del + n_match)::DOUBLE, 4) AS ins_rate FROM g""")
+def aligned_rollup(spark, sf_dir):
+    """Counts of real alignments, pooled by category and over the corpus."""
+    scored = metrics.score_pairs(turn_pairs(spark, sf_dir))
+    return metrics.with_corpus(scored.withColumn("category", F.col("conv_id") % 7), "category")
+
+
+_FILES_SQL = f"SELECT conv_id AS name, string_agg(ref, ' ' ORDER BY turn) AS ref, string_agg(hyp, ' ' ORDER BY turn) AS hyp FROM ({_PAIRS_SQL}) WHERE turn < 3 GROUP BY conv_id"
+
+
+@query(_aligned_sql(f"SELECT * FROM (SELECT name, {_SPLIT_SQL.format('lower(ref)')} AS r0, {_SPLIT_SQL.format('lower(hyp)')} AS h0 FROM ({_FILES_SQL})) WHERE len(r0) > 0", "name", "r0", "h0") + f""",
+e AS (SELECT name, s, d, i, c, levenshtein({_WIDE_SQL.format("array_to_string(r, ' ')")}, {_WIDE_SQL.format("array_to_string(h, ' ')")})::BIGINT AS chars, length(array_to_string(r, ' '))::BIGINT AS n_chars FROM al)
+SELECT name, count(*)::BIGINT AS n, round(sum(s + d + i)::DOUBLE / sum(s + d + c)::DOUBLE, 4) AS wer, round(sum(chars)::DOUBLE / sum(n_chars)::DOUBLE, 4) AS cer FROM e GROUP BY ROLLUP (name)""")
+def file_scores(spark, sf_dir):
+    """Rates of every file, and of the corpus in the row without a name."""
+    pairs = turn_pairs(spark, sf_dir).where(F.col("turn") < 3)
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", c))), lambda x: x[c]), " ").alias(c)
+    return metrics.file_scores(pairs.groupBy(F.col("conv_id").alias("name")).agg(joined("ref"), joined("hyp")), "en")
+
+
+def _bleu_words_sql(c: str) -> str:
+    out = f"' ' || {c} || ' '"
+    for pattern, by in (("([\\{-\\~\\[-` -&\\(-\\+:-@/])", " \\1 "), ("([^0-9])([\\.,])", "\\1 \\2 "), ("([\\.,])([^0-9])", " \\1 \\2"), ("([0-9])(-)", "\\1 \\2 ")):
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    return f"list_filter(string_split_regex({out}, '\\s+'), lambda x: x <> '')"
+
+
+def _chrf_words_sql(c: str) -> str:
+    marks = "'" + normalize.PUNCTUATION.replace("'", "''") + "'"
+    cut = f"CASE WHEN length(x) > 1 AND contains({marks}, right(x, 1)) THEN [left(x, length(x) - 1), right(x, 1)] WHEN length(x) > 1 AND contains({marks}, left(x, 1)) THEN [left(x, 1), substr(x, 2)] ELSE [x] END"
+    return f"flatten(list_transform({_SPLIT_SQL.format(c)}, lambda x: {cut}))"
+
+
+def _gram_counts_sql(items: str, name: str, most: int) -> str:
+    """A CTE of clipped matches and counts of the n-grams of two lists, summed over all pairs: n, hits, hyp, ref."""
+    side = lambda c: f"SELECT id, n, g, count(*) AS k FROM (SELECT id, n, unnest(list_transform(range(greatest(len({c}) - n + 1, 0)), lambda a: array_to_string({c}[a + 1 : a + n], chr(1)))) AS g FROM {items}, range(1, {most + 1}) z(n)) GROUP BY id, n, g"
+    return f"{name} AS (SELECT n, coalesce(sum(least(a.k, b.k)) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL), 0) AS hits, coalesce(sum(b.k), 0) AS hyp, coalesce(sum(a.k), 0) AS ref FROM ({side('r')}) a FULL JOIN ({side('h')}) b USING (id, n, g) GROUP BY n)"
+
+
+@query(f"""WITH q AS (SELECT row_number() OVER () AS id, ref, hyp FROM ({_PAIRS_SQL}) WHERE trim(ref) <> ''),
+w AS (SELECT id, {_bleu_words_sql("replace(ref, chr(10), ' ')")} AS r, {_bleu_words_sql("replace(hyp, chr(10), ' ')")} AS h FROM q),
+ch AS (SELECT id, string_split(regexp_replace(ref, '\\s+', '', 'g'), '') AS r, string_split(regexp_replace(hyp, '\\s+', '', 'g'), '') AS h FROM q),
+pw AS (SELECT id, {_chrf_words_sql('ref')} AS r, {_chrf_words_sql('hyp')} AS h FROM q),
+{_gram_counts_sql('w', 'gw', 4)}, {_gram_counts_sql('ch', 'gc', 6)}, {_gram_counts_sql('pw', 'gp', 2)},
+ln_ AS (SELECT sum(len(r)) AS nr, sum(len(h)) AS nh FROM w),
+b AS (SELECT n, hits, hyp, sum(CASE WHEN hits = 0 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS z FROM gw),
+bl AS (SELECT sum(ln(CASE WHEN hits = 0 THEN 1.0 / (2 ** z) ELSE hits END / hyp)) / 4 AS l FROM b),
+f AS (SELECT avg(hits / hyp::DOUBLE) AS p, avg(hits / ref::DOUBLE) AS r FROM (SELECT * FROM gc UNION ALL SELECT * FROM gp) WHERE hyp > 0 AND ref > 0)
+SELECT (SELECT count(*) FROM q)::BIGINT AS n, round(100 * exp(least(0, 1 - nr / nh::DOUBLE) + l), 2) AS bleu, round(100 * 5 * p * r / (4 * p + r), 2) AS chrf FROM ln_, bl, f""")
 def translation_scores(spark, sf_dir):
     return translation.translation_scores(turn_pairs(spark, sf_dir))
 
 
-@query()
+_UTTERED_PAIRS = f"SELECT conv_id, turn, regexp_replace(ref, '([.?!]) ', '\\1' || chr(10), 'g') AS ref, hyp FROM ({_PAIRS_SQL})"
+
+
+@query(_aligned_sql(_lined_sql(_UTTERED_PAIRS), "conv_id, turn", "flatten(lines)", "hyp_tokens") + """,
+o AS (SELECT conv_id, turn, lines, len(r) AS nr, path, unnest(range(length(path))) AS k FROM al),
+u AS (SELECT conv_id, turn, substr(path, k + 1, 1) AS op, lines, k - (length(left(path, k)) - length(replace(left(path, k), 'i', ''))) AS idx FROM o),
+e AS (SELECT conv_id, turn, op, least(len(list_filter(range(1, len(lines) + 1), lambda x: len(flatten(list_slice(lines, 1, x))) <= idx)), len(lines) - 1) AS utterance FROM u),
+every_ AS (SELECT conv_id, turn, unnest(range(len(lines))) AS utterance FROM al)
+SELECT v.conv_id, v.turn, v.utterance::BIGINT AS utterance, count(*) FILTER (op = 's')::BIGINT AS n_sub, count(*) FILTER (op = 'd')::BIGINT AS n_del, count(*) FILTER (op = 'i')::BIGINT AS n_ins, count(*) FILTER (op = 'm')::BIGINT AS n_match
+FROM every_ v LEFT JOIN e ON e.conv_id = v.conv_id AND e.turn = v.turn AND e.utterance = v.utterance GROUP BY v.conv_id, v.turn, v.utterance""")
 def utterance_buckets(spark, sf_dir):
     pairs = metrics.score_pairs(turn_pairs(spark, sf_dir).withColumn("ref", F.regexp_replace("ref", r"([.?!]) ", "$1\n")))
-    return alignment.utterance_counts(pairs, ["conv_id", "turn"])
+    return alignment.utterance_counts(pairs, ["conv_id", "turn"]).withColumn("utterance", F.col("utterance").cast("long"))
 
 
 _JACCARD_WORDS = _SPLIT_SQL.format("lower({})")
@@ -170,8 +300,8 @@ def category_rollup(spark, sf_dir):
     return metrics.pooled(_scores(spark, sf_dir).join(_t(spark, sf_dir, "labels"), "doc_id"), ["quality", "source"])
 
 
-@query(f"""WITH x AS ({_SCORES_SQL}) SELECT source, {_SUMS_SQL}, {_RATES_SQL.format('NULL')},
- sum(s)::DOUBLE / nullif(sum(s+d+c), 0)::DOUBLE AS sub_rate, sum(d)::DOUBLE / nullif(sum(s+d+c), 0)::DOUBLE AS del_rate, sum(i)::DOUBLE / nullif(sum(s+d+c), 0)::DOUBLE AS ins_rate
+@query(f"""WITH x AS ({_SCORES_SQL}) SELECT source, {_SUMS_SQL}, round(sum(s+d+i)::DOUBLE / nullif(sum(s+d+c), 0)::DOUBLE, 4) AS wer, round(sum(s+d+i)::DOUBLE / nullif(sum(s+d+i+c), 0)::DOUBLE, 4) AS mer,
+ round(sum(s)::DOUBLE / nullif(sum(s+d+c), 0)::DOUBLE, 4) AS sub_rate, round(sum(d)::DOUBLE / nullif(sum(s+d+c), 0)::DOUBLE, 4) AS del_rate, round(sum(i)::DOUBLE / nullif(sum(s+d+c), 0)::DOUBLE, 4) AS ins_rate
 FROM x GROUP BY ROLLUP (source)""")
 def corpus_rollup(spark, sf_dir):
     return metrics.with_corpus(_scores(spark, sf_dir), "source")
@@ -290,16 +420,37 @@ def turn_segments(spark, sf_dir) -> DataFrame:
     return made
 
 
-@query()
-def collapsed_segments(spark, sf_dir):
-    return clean.filter_segments(turn_segments(spark, sf_dir)).select("file", "seg", "start", F.round("end", 6).alias("end"), _long(F.size("words"), "n_words"))
+_PHRASES = ("Thank you.", "thank you", "So on it goes now", "on it, goes")
 
 
-@query()
+@query(f"""WITH RECURSIVE g AS (SELECT conv_id::VARCHAR AS file, turn::BIGINT AS seg, turn % 3 > 0 AS flat, turn * 1000.0::DOUBLE AS start, ['thank you', 'thank you', 'so on it goes now', 'on it goes'][(conv_id * 3 + turn * turn) % 4 + 1] AS k, len({_SPLIT_SQL.format('text')})::BIGINT AS n_words, turn % 5 <> 4 AS fine FROM conversations),
+x AS (SELECT *, lead(start) OVER (PARTITION BY file ORDER BY seg) AS nxt FROM g),
+o AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seg) AS idx FROM x WHERE fine),
+f AS (SELECT o.*, k AS kept, true AS stays FROM o WHERE idx = 1
+ UNION ALL SELECT file, seg, flat, start, k, n_words, fine, nxt, idx, CASE WHEN again THEN kept ELSE k END, NOT again FROM (SELECT o.*, f.kept, o.flat AND o.k <> '' AND f.kept <> '' AND (o.k = f.kept OR len(string_split(o.k, ' ')) >= 3 AND (contains(f.kept, o.k) OR contains(o.k, f.kept))) AS again FROM f JOIN o ON o.file = f.file AND o.idx = f.idx + 1))
+SELECT file, seg, start, round(CASE WHEN NOT flat THEN start + n_words * 0.3::DOUBLE WHEN nxt IS NULL THEN start + 0.1 ELSE least(start + 0.1, greatest(nxt, start + 0.02)) END, 6) AS end, n_words FROM f WHERE stays""")
+def collapsed_segments(spark, sf_dir):
+    """Turns as stock phrases, two in three of them collapsed to 20 ms, one in five without text."""
+    made = turn_segments(spark, sf_dir).withColumn("n", F.size("words"))
+    phrase = F.get(F.array(*(F.lit(p) for p in _PHRASES)), ((F.col("file").cast("long") * 3 + F.col("seg") * F.col("seg")) % 4).cast("int"))
+    short = F.col("seg") % 3 > 0
+    made = made.withColumns({"text": F.when(F.col("seg") % 5 == 4, " ").otherwise(phrase), "end": F.col("start") + F.when(short, 0.02).otherwise(F.col("n") * 0.3)}).drop("n")
+    found = clean.filter_segments(made)
+    return found.select("file", _long(F.col("seg"), "seg"), "start", F.round("end", 6).alias("end"), _long(F.size("words"), "n_words"))
+
+
+@query(f"""WITH g AS (SELECT conv_id::VARCHAR AS file, turn::BIGINT AS seg, turn % 7 = 6 AS flat, turn * 1000.0::DOUBLE AS b, len({_SPLIT_SQL.format('text')}) AS n FROM conversations),
+w AS (SELECT file, seg, b, n, flat, unnest(range(n)) AS i FROM g),
+t AS (SELECT *, CASE WHEN flat THEN b ELSE b + i * 0.3::DOUBLE END - CASE WHEN i = 0 THEN 50 ELSE 0 END AS s, CASE WHEN flat THEN b ELSE b + i * 0.3::DOUBLE + 0.2::DOUBLE END - CASE WHEN i = 0 THEN 50 ELSE 0 END AS e FROM w),
+r AS (SELECT file, seg, b, n, flat, max(s) FILTER (i = 0) AS s0, max(e) FILTER (i = 0) AS e0, max(s) FILTER (i = 1) AS s1, max(e) FILTER (i = n - 1) AS last_e, list(e - s ORDER BY i) AS d FROM t GROUP BY file, seg, b, n, flat),
+a AS (SELECT g.file, g.seg, g.b, g.n, g.flat, s0, e0, s1, last_e, d, coalesce(list_reduce(list_prepend(0.0::DOUBLE, d[2:]), lambda x, y: x + y), 0) AS rest, lead(g.b) OVER (PARTITION BY g.file ORDER BY g.seg) AS nxt FROM g LEFT JOIN r ON r.file = g.file AND r.seg = g.seg),
+c AS (SELECT *, CASE WHEN n < 2 THEN NULL ELSE d[1] > rest OR (d[1] = rest AND n <= 2) END AS early, CASE WHEN flat THEN b + 0.02 ELSE b + n * 0.3::DOUBLE END AS whole FROM a),
+z AS (SELECT *, CASE WHEN n < 2 THEN whole WHEN early THEN e0 + rest * CASE WHEN nxt IS NULL THEN 1 WHEN rest <= 0 OR nxt - e0 <= 0 THEN 0 ELSE least(1, (nxt - e0) / rest) END ELSE last_e END AS stop FROM c)
+SELECT file, seg, round(CASE WHEN n < 2 THEN b WHEN early THEN s0 ELSE greatest(s1 - d[1], coalesce(lag(stop) OVER (PARTITION BY file ORDER BY seg), 0)) END, 6) AS start, round(stop, 6) AS end FROM z""")
 def repaired_straddles(spark, sf_dir):
     s = turn_segments(spark, sf_dir)
     far = F.transform("words", lambda w, i: F.when(i == 0, F.struct((w["start"] - 50).alias("start"), (w["end"] - 50).alias("end"), w["word"].alias("word"), w["probability"].alias("probability"))).otherwise(w))
-    return clean.repair_straddles(s.withColumn("words", far)).select("file", "seg", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+    return clean.repair_straddles(s.withColumn("words", far)).select("file", _long(F.col("seg"), "seg"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
 # --- sentences and punctuation -------------------------------------------------------------------------------------
@@ -332,10 +483,26 @@ def sentence_split(spark, sf_dir):
     return out.select("file", "sentence", "text", _long(F.size(F.split("text", " ")), "n_words"), "min_word_probability")
 
 
-@query()
+def paused_segments(spark, sf_dir) -> DataFrame:
+    """Each turn as a file of one segment: words of a quarter second, with a pause that grows every fifth word and a long one every 17th."""
+    c = _t(spark, sf_dir, "conversations")
+    at = lambda i: i * 0.5 + F.floor(i / 5) * F.floor(i / 5) * 0.125 + F.floor(i / 17) * 6.0
+    one = lambda w, i: F.struct(at(i).alias("start"), (at(i) + 0.25).alias("end"), F.concat(F.lit(" "), w).alias("word"), ((i * 37 + 11) % 128 / 128.0).alias("probability"))
+    return c.select(F.concat_ws("#", "conv_id", "turn").alias("file"), F.lit(0).alias("seg"), F.lit(0.0).alias("start"), F.lit(900.0).alias("end"), F.rtrim("text", F.lit(".?!")).alias("text"), F.lit(-0.2).alias("avg_logprob"), F.lit(0.01).alias("no_speech_prob"), F.lit(1.0).alias("compression_ratio"), F.lit(0.0).alias("temperature"), F.transform(normalize.words_of(F.rtrim("text", F.lit(".?!"))), one).alias("words"))
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT concat_ws('#', conv_id, turn) AS file, word, pos, pos * 0.5 + (pos // 5) * (pos // 5) * 0.125 + (pos // 17) * 6.0::DOUBLE AS s, {_ENDS_SQL} AS closes FROM ({_WORDS_SQL.replace("SELECT conv_id, turn, " + _SPLIT_SQL.format('text'), "SELECT conv_id, turn, " + _SPLIT_SQL.format("rtrim(text, '.?!')"))})),
+a AS (SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sid, s - lag(s + 0.25) OVER (PARTITION BY file ORDER BY pos) AS gap, last_value(closes) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS closed FROM w),
+b AS (SELECT *, CASE WHEN NOT closed AND sid = max(sid) OVER (PARTITION BY file) AND lag(sid) OVER (PARTITION BY file ORDER BY pos) = sid AND gap > 5 THEN 1 ELSE 0 END AS cut FROM a),
+c AS (SELECT *, sid + sum(cut) OVER (PARTITION BY file ORDER BY pos ROWS UNBOUNDED PRECEDING) AS grp FROM b),
+l AS (SELECT file, grp, list(word ORDER BY pos) AS ws, list(gap ORDER BY pos) AS gaps, list((pos * 37 + 11) % 128 / 128.0::DOUBLE ORDER BY pos) AS pr, list(s ORDER BY pos) AS ss FROM c GROUP BY file, grp),
+cuts AS (SELECT file, grp, 0::BIGINT AS lo, len(ws) AS hi, gaps FROM l
+ UNION ALL SELECT file, grp, unnest([lo, m]), unnest([m, hi]), gaps FROM (SELECT *, lo + list_position(gaps[lo + 2 : hi], list_max(gaps[lo + 2 : hi])) AS m FROM cuts WHERE hi - lo > 12)),
+p AS (SELECT l.file, l.grp, lo, trim(array_to_string(ws[lo + 1 : hi], ' ')) AS text, list_min(pr[lo + 1 : hi]) AS mi, list_avg(pr[lo + 1 : hi]) AS me, ss[lo + 1] AS start, ss[hi] + 0.25 AS stop FROM cuts JOIN l ON l.file = cuts.file AND l.grp = cuts.grp WHERE hi - lo <= 12)
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY grp, lo) - 1 AS sentence, start, stop AS end, text, round(mi, 4) AS min_word_probability, round(me, 4) AS mean_word_probability FROM p WHERE text <> ''""")
 def sentence_bounded(spark, sf_dir):
-    seg = turn_segments(spark, sf_dir).withColumns({"file": F.concat_ws("#", "file", "seg"), "seg": F.lit(0)})
-    return sentences.to_sentences(seg, max_gap=5.0, max_words=12).select("file", "sentence", "text", "min_word_probability", "mean_word_probability")
+    """Open ends split at long pauses, and captions of more than twelve words at their widest pause."""
+    return sentences.to_sentences(paused_segments(spark, sf_dir), max_gap=5.0, max_words=12).select("file", "sentence", "start", "end", "text", "min_word_probability", "mean_word_probability")
 
 
 _MARKS_RE = "[.,!?;:…。？！、，；：-]+$"
@@ -354,13 +521,15 @@ _LABEL_SQL = "['0', '.', ',', '?', '-', ':'][(pos * 5 + turn) % 6 + 1]"
 
 @query(f"""WITH a AS (SELECT conv_id, turn, pos, word, {_AFFIX_SQL}, {_LABEL_SQL} AS label, ((pos * 31) % 100) / 100.0::DOUBLE AS conf FROM ({_WORDS_SQL})),
 b AS (SELECT *, trail <> '' AND right(trail, 1) IN ('.', '!', '?', '…', '。', '？', '！') AS te, label IN ('.', '?') AS le, CASE WHEN label = '0' THEN '' ELSE label END AS plain FROM a)
-SELECT conv_id, turn, pos::BIGINT AS pos, CASE WHEN te AND NOT le THEN CASE WHEN conf >= 0.9 THEN plain ELSE trail END WHEN te THEN trail WHEN le THEN label WHEN trail <> '' THEN trail ELSE plain END AS mark FROM b""")
+SELECT conv_id, turn, pos::BIGINT AS pos, CASE WHEN te AND NOT le THEN CASE WHEN conf >= 0.9 THEN plain ELSE trail END WHEN te THEN trail WHEN le THEN label WHEN trail <> '' THEN trail ELSE plain END AS demoted,
+ CASE WHEN te THEN trail WHEN le THEN label WHEN trail <> '' THEN trail ELSE plain END AS mark FROM b""")
 def merge_mark(spark, sf_dir):
     labels = F.array(*(F.lit(x) for x in ("0", ".", ",", "?", "-", ":")))
     label = F.get(labels, ((F.col("pos") * 5 + F.col("turn")) % 6).cast("int"))
     conf = (F.col("pos") * 31) % 100 / 100.0
-    mark = punctuation.merged_mark(punctuation.affixes(F.col("word"))["trail"], label, conf, 0.9, True)
-    return turn_words(spark, sf_dir).select("conv_id", "turn", _long(F.col("pos"), "pos"), mark.alias("mark"))
+    trail = punctuation.affixes(F.col("word"))["trail"]
+    mark, demoted = punctuation.merged_mark(trail, label, conf), punctuation.merged_mark(trail, label, conf, 0.9, demote=True)
+    return turn_words(spark, sf_dir).select("conv_id", "turn", _long(F.col("pos"), "pos"), mark.alias("mark"), demoted.alias("demoted"))
 
 
 @query(f"""WITH a AS (SELECT conv_id, turn, pos, word, {_ENDS_SQL} AS closes FROM ({_WORDS_SQL})),
@@ -370,9 +539,9 @@ def recase(spark, sf_dir):
     return punctuation.recase(turn_words(spark, sf_dir), ["conv_id", "turn"], ["pos"]).select("conv_id", "turn", _long(F.col("pos"), "pos"), "word")
 
 
-@query("""WITH w AS (SELECT doc_id, n_chars AS n, greatest(ceil((n_chars - 256) / 192.0), 0)::BIGINT AS last FROM documents),
+@query("""WITH w AS (SELECT doc_id, n_chars AS n, greatest(ceil((n_chars - 200) / 150.0), 0)::BIGINT AS last FROM documents),
 e AS (SELECT doc_id, n, last, unnest(range(last + 1)) AS k FROM w)
-SELECT doc_id, (k * 192)::BIGINT AS start, least(k * 192 + 256, n)::BIGINT AS stop, (CASE WHEN k = 0 THEN 0 ELSE k * 192 + 32 END)::BIGINT AS keep_from, (CASE WHEN k = last THEN n ELSE k * 192 + 224 END)::BIGINT AS keep_to FROM e""")
+SELECT doc_id, (k * 150)::BIGINT AS start, least(k * 150 + 200, n)::BIGINT AS stop, (CASE WHEN k = 0 THEN 0 ELSE k * 150 + 25 END)::BIGINT AS keep_from, (CASE WHEN k = last THEN n ELSE k * 150 + 175 END)::BIGINT AS keep_to FROM e""")
 def overlap_windows(spark, sf_dir):
     w = _t(spark, sf_dir, "documents").select("doc_id", F.explode(punctuation.windows(F.col("n_chars"))).alias("w"))
     return w.select("doc_id", *(_long(F.col(f"w.{n}"), n) for n in ("start", "stop", "keep_from", "keep_to")))
@@ -388,10 +557,13 @@ def checkpoints(spark, sf_dir):
 # --- subtitles -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, format('{:02d}:{:02d}:{:02d}', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) AS clock, n_chars::DOUBLE + 0.25 AS seconds FROM documents")
+@query("""SELECT doc_id, format('{:02d}:{:02d}:{:02d}', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) AS clock, n_chars::DOUBLE + (doc_id * 37 % 1000) / 1000.0::DOUBLE AS seconds, n_chars::DOUBLE AS whole FROM documents""")
 def timecodes(spark, sf_dir):
+    """Clocks read back with milliseconds behind a comma or a dot, and without any."""
     clock = subtitles.clock(F.col("n_chars"))
-    return _t(spark, sf_dir, "documents").select("doc_id", clock.alias("clock"), subtitles.seconds(F.concat(clock, F.lit(",250"))).alias("seconds"))
+    mark = F.when(F.col("doc_id") % 2 == 0, ",").otherwise(".")
+    ms = F.lpad((F.col("doc_id") * 37 % 1000).cast("string"), 3, "0")
+    return _t(spark, sf_dir, "documents").select("doc_id", clock.alias("clock"), subtitles.seconds(F.concat(clock, mark, ms)).alias("seconds"), subtitles.seconds(clock).cast("double").alias("whole"))
 
 
 _MARKUP_SQL = "html"
@@ -455,9 +627,10 @@ def media_semi(spark, sf_dir):
     return pairing.with_reference(p.select("page_id", F.col("url").alias("path")), refs).select("page_id")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def exclude_anti(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
+    urgent = _t(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    return pairing.excluding(_t(spark, sf_dir, "customer"), urgent, "c_custkey", "o_custkey").select("c_custkey", "c_mktsegment")
 
 
 @query("""WITH a AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1), b AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'system' GROUP BY 1)
@@ -487,9 +660,10 @@ def first_n(spark, sf_dir):
     return out.select("conv_id", _long(F.col("i"), "i"), "a", "b", _long(F.col("omitted"), "omitted"))
 
 
-@query("SELECT split_part(lower(regexp_replace(source, '[0-9]', '_')), '_', 1) AS id, count(DISTINCT source)::BIGINT AS n FROM documents GROUP BY 1")
+@query("SELECT lower(split_part(c_mktsegment || '_' || c_custkey, '_', 1)) || CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE '' END AS id, count(DISTINCT c_custkey)::BIGINT AS n FROM customer GROUP BY 1")
 def leading_ids(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").groupBy(text.leading_id(F.regexp_replace("source", "[0-9]", "_")).alias("id")).agg(F.count_distinct("source").alias("n"))
+    name = F.concat("c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, "X").otherwise(""), F.lit("_"), F.col("c_custkey").cast("string"), F.lit("_b"))
+    return _t(spark, sf_dir, "customer").groupBy(text.leading_id(name).alias("id")).agg(F.count_distinct("c_custkey").alias("n"))
 
 
 @query("""WITH a AS (SELECT o_custkey AS id, max_by(o_orderpriority, o_orderkey) AS text, min(o_orderkey) AS f FROM orders GROUP BY 1)

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 NUMBER = r"^\$?-?\d[\d,]*(?:\.\d+)?%?$"
 
 # The names of numbers.
-ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+ONES = [
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten",
+    "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+]
+TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
 
 
 def _names(words: list[str]) -> Column:

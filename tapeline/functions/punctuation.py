@@ -11,9 +11,9 @@ from .normalize import PUNCTUATION
 # Sentence ends, abbreviations of Latin-script languages, attached marks.
 ENDS = (".", "?", "!", "。", "？", "！")
 ABBREVIATIONS = (
-    "mr mrs ms mx dr prof rev hon sr jr st mt gen col capt lt sgt maj cmdr vs etc approx dept "
-    "mme mlle ste sra srta dna hr nr abb sig dott"
-).split()
+    "mr", "mrs", "ms", "mx", "dr", "prof", "rev", "hon", "sr", "jr", "st", "mt", "gen", "col", "capt", "lt", "sgt", "maj", "cmdr",
+    "vs", "etc", "approx", "dept", "mme", "mlle", "ste", "sra", "srta", "dna", "hr", "nr", "abb", "sig", "dott",
+)
 TRAILING = ".,!?;:-…。？！、，；："
 TERMINAL = ".!?…。？！"
 
@@ -81,7 +81,7 @@ def apply_labels(words: DataFrame, partition: list[str], order: list[str], thres
     return recase(checked.withColumn("word", written), partition, order)
 
 
-def windows(n: Column, window: int = 256, stride: int = 192) -> Column:
+def windows(n: Column, window: int = 200, stride: int = 150) -> Column:
     """Overlapping windows over n items: array of struct(start, stop, keep_from, keep_to); kept interiors tile 0..n."""
     margin = max(0, (window - stride) // 2)
     last = F.greatest(F.ceil((n - window) / stride), F.lit(0)).cast("int")
@@ -93,3 +93,10 @@ def windows(n: Column, window: int = 256, stride: int = 192) -> Column:
         F.when(k == last, n).otherwise(start(k) + window - margin).cast("int").alias("keep_to"),
     )
     return F.transform(F.sequence(F.lit(0), last), one)
+
+
+def window_spans(n: int, window: int = 200, stride: int = 150) -> list[tuple[int, int, int, int]]:
+    """The same windows for one file, for code that runs beside a model: start, stop, keep_from, keep_to."""
+    margin = max(0, (window - stride) // 2)
+    last = max(-(-(n - window) // stride), 0)
+    return [(k * stride, min(k * stride + window, n), k * stride + margin if k else 0, n if k == last else k * stride + window - margin) for k in range(last + 1)] if n else []

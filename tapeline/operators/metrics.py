@@ -34,12 +34,12 @@ def pooled(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_corpus(scores: DataFrame, file: str) -> DataFrame:
-    """Per-file rows and the corpus row (null file) in one pass, rates per reference word; null where there is none."""
+    """Per-file rows and the corpus row (null file) in one pass, rates per reference word to four places; null where there is none."""
     out = scores.rollup(file).agg(*(F.sum(c).alias(c) for c in COUNTS))
     n = F.col("n_sub") + F.col("n_del") + F.col("n_match")
     four = [F.col(c) for c in COUNTS]
-    rates = {f"{k}_rate": ratio(F.col(f"n_{k}"), n, None) for k in ("sub", "del", "ins")}
-    return out.withColumns({"n_ref": n, "wer": wer(*four, empty=None), "mer": mer(*four, empty=None)} | rates)
+    rates = {f"{k}_rate": F.round(ratio(F.col(f"n_{k}"), n, None), 4) for k in ("sub", "del", "ins")}
+    return out.withColumns({"n_ref": n, "wer": F.round(wer(*four, empty=None), 4), "mer": F.round(mer(*four, empty=None), 4)} | rates)
 
 
 def score_pairs(pairs: DataFrame, rules: normalize.Rules = normalize.Rules(), subtitle: bool = False) -> DataFrame:
@@ -56,17 +56,30 @@ def score_pairs(pairs: DataFrame, rules: normalize.Rules = normalize.Rules(), su
     return out.withColumns({"n_ref": F.size("ref_tokens").cast("long"), "wer": wer(*four), "mer": mer(*four), "cer": cer(F.col("ref_tokens"), F.col("hyp_tokens"))})
 
 
-def asr_scores(pairs: DataFrame, language: str, normalizer=normalize.basic) -> DataFrame:
-    """n, wer and cer of a corpus of (ref, hyp) texts; scripts without word breaks are scored by characters only."""
+def _asr_errors(pairs: DataFrame, language: str, normalizer) -> DataFrame:
+    """pairs (ref, hyp texts, ...) with counts, character errors and reference characters; empty references are dropped."""
     ref, hyp = normalizer(F.col("ref")), normalizer(F.col("hyp"))
-    whole = language in normalize.UNSEGMENTED
-    if whole:
+    if language in normalize.UNSEGMENTED:
         ref, hyp = normalize.without_spaces(ref), normalize.without_spaces(hyp)
-    made = pairs.select(ref.alias("r"), hyp.alias("h")).where(F.col("r") != "")
-    scored = align(made.withColumns({"rt": normalize.words_of(F.col("r")), "ht": normalize.words_of(F.col("h"))}), "rt", "ht").select("*", *counts(F.col("ops")))
-    errors = F.sum(char_distance(F.col("r"), F.col("h")))
-    word = F.lit(None).cast("double") if whole else wer(*(F.sum(c) for c in COUNTS))
-    return scored.agg(F.count("*").alias("n"), word.alias("wer"), ratio(errors, F.sum(F.char_length("r"))).alias("cer"))
+    made = pairs.withColumns({"_r": ref, "_h": hyp}).where(F.col("_r") != "")
+    words = {"_rt": normalize.words_of(F.col("_r")), "_ht": normalize.words_of(F.col("_h"))}
+    out = align(made.withColumns(words), "_rt", "_ht", "_ops").select("*", *counts(F.col("_ops")))
+    return out.withColumns({"char_errors": char_distance(F.col("_r"), F.col("_h")).cast("long"), "n_chars": F.char_length("_r").cast("long")}).drop("_r", "_h", "_rt", "_ht", "_ops")
+
+
+def _asr_rates(language: str) -> list[Column]:
+    word = F.lit(None).cast("double") if language in normalize.UNSEGMENTED else F.round(wer(*(F.sum(c) for c in COUNTS)), 4)
+    return [F.count("*").alias("n"), word.alias("wer"), F.round(ratio(F.sum("char_errors"), F.sum("n_chars")), 4).alias("cer")]
+
+
+def asr_scores(pairs: DataFrame, language: str, normalizer=normalize.basic) -> DataFrame:
+    """n, wer and cer of a corpus of (ref, hyp) texts, to four places; scripts without word breaks are scored by characters only."""
+    return _asr_errors(pairs, language, normalizer).agg(*_asr_rates(language))
+
+
+def file_scores(pairs: DataFrame, language: str, normalizer=normalize.basic) -> DataFrame:
+    """The same for each file of (name, ref, hyp), and in the row without a name for the corpus: one pass."""
+    return _asr_errors(pairs.select("name", "ref", "hyp"), language, normalizer).rollup("name").agg(*_asr_rates(language))
 
 
 def calibration(true_scores: DataFrame, subtitle_scores: DataFrame, keys: list[str]) -> DataFrame:

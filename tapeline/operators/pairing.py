@@ -76,6 +76,12 @@ def sample_with_partner(rows: DataFrame, partners: DataFrame, limit: int) -> Dat
     return one.join(other, "id").orderBy("_first", "id").limit(limit).drop("_first")
 
 
+def excluding(rows: DataFrame, listed: DataFrame, key: str, listed_key: str | None = None) -> DataFrame:
+    """rows without those whose key is on an exclude list; nulls on the list exclude nothing."""
+    names = listed.select(F.col(listed_key or key).alias("_listed")).where(F.col("_listed").isNotNull()).distinct()
+    return rows.join(names, rows[key] == names["_listed"], "left_anti")
+
+
 def counts_side_by_side(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Counts of both sides over all keys of either."""
     return a.withColumnRenamed("n", "n_a").join(b.withColumnRenamed("n", "n_b"), key, "full_outer").na.fill(0, ["n_a", "n_b"])

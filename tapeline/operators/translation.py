@@ -10,8 +10,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.normalize import PUNCTUATION
+
 BLEU_ORDER, CHAR_ORDER, WORD_ORDER, BETA = 4, 6, 2, 2
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+# The public mteval-v13a tokenization that BLEU figures are published with.
+_ENTITIES = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+_CUTS = (
+    (re.compile(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])"), r" \1 "),
+    (re.compile(r"([^0-9])([\.,])"), r"\1 \2 "),
+    (re.compile(r"([\.,])([^0-9])"), r" \1 \2"),
+    (re.compile(r"([0-9])(-)"), r"\1 \2 "),
+)
+
+
+def bleu_words(text: str) -> list[str]:
+    for old, new in _ENTITIES:
+        text = text.replace(old, new)
+    text = f" {text} "
+    for pattern, by in _CUTS:
+        text = pattern.sub(by, text)
+    return text.split()
+
+
+def chrf_words(text: str) -> list[str]:
+    """Words with one mark cut from their end or, failing that, their start."""
+    out = []
+    for word in text.split():
+        if len(word) > 1 and word[-1] in PUNCTUATION:
+            out += [word[:-1], word[-1]]
+        elif len(word) > 1 and word[0] in PUNCTUATION:
+            out += [word[0], word[1:]]
+        else:
+            out.append(word)
+    return out
 
 
 def _grams(items, n: int) -> Counter:
@@ -25,11 +56,12 @@ def _overlap(ref, hyp, n: int) -> tuple[int, int, int]:
 
 def statistics(ref: str, hyp: str) -> list[int]:
     """Matches, hypothesis and reference n-grams: words for BLEU, then characters without spaces and words for chrF; lengths last."""
-    rw, hw = _TOKEN.findall(ref), _TOKEN.findall(hyp)
-    rc, hc = re.sub(r"\s+", "", ref), re.sub(r"\s+", "", hyp)
+    rw, hw = bleu_words(ref), bleu_words(hyp)
+    rc, hc = "".join(ref.split()), "".join(hyp.split())
+    rp, hp = chrf_words(ref), chrf_words(hyp)
     out = [x for n in range(1, BLEU_ORDER + 1) for x in _overlap(rw, hw, n)]
     out += [x for n in range(1, CHAR_ORDER + 1) for x in _overlap(rc, hc, n)]
-    out += [x for n in range(1, WORD_ORDER + 1) for x in _overlap(rw, hw, n)]
+    out += [x for n in range(1, WORD_ORDER + 1) for x in _overlap(rp, hp, n)]
     return [*out, len(rw), len(hw)]
 
 
@@ -50,18 +82,20 @@ def bleu(totals: list[int]) -> float:
 
 
 def chrf(totals: list[int]) -> float:
-    """Percent: the mean over orders of the F-score that weighs recall BETA times."""
-    scores = []
+    """Percent: the F-score, weighing recall BETA times, of precision and recall averaged over the orders that both sides have."""
+    precision, recall, orders = 0.0, 0.0, 0
     for k in range(BLEU_ORDER, BLEU_ORDER + CHAR_ORDER + WORD_ORDER):
         match, n_hyp, n_ref = totals[3 * k : 3 * k + 3]
         if n_hyp and n_ref:
-            p, r = match / n_hyp, match / n_ref
-            scores.append((1 + BETA**2) * p * r / (BETA**2 * p + r) if match else 0.0)
-    return 100 * sum(scores) / len(scores) if scores else 0.0
+            precision, recall, orders = precision + match / n_hyp, recall + match / n_ref, orders + 1
+    if not precision + recall:
+        return 0.0
+    p, r = precision / orders, recall / orders
+    return 100 * (1 + BETA**2) * p * r / (BETA**2 * p + r)
 
 
 def translation_scores(pairs: DataFrame) -> DataFrame:
-    """n, bleu and chrf of all pairs (ref, hyp) with a reference."""
+    """n, bleu and chrf (character and word orders) of all pairs (ref, hyp) with a reference, to two places."""
     width = len(statistics("", ""))
 
     def run(batches):
@@ -79,6 +113,6 @@ def translation_scores(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 sums = [row[f"s{i}"] for i in range(width)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["n"]], pa.int64()), pa.array([bleu(sums)]), pa.array([chrf(sums)])], ["n", "bleu", "chrf"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["n"]], pa.int64()), pa.array([round(bleu(sums), 2)]), pa.array([round(chrf(sums), 2)])], ["n", "bleu", "chrf"])
 
     return total.mapInArrow(finish, "n long, bleu double, chrf double")
