@@ -102,11 +102,19 @@ def aligned_counts_sql(ref: Column, hyp: Column) -> Column:
     return F.element_at(F.aggregate(ref, first, step), -1)
 
 
+#: Code points for tokens: from the first ideographs up to where surrogates begin.
+_FIRST_CODE, _CODES = 0x4E00, 0xD800 - 0x4E00
+
+
 def token_distance(ref: Column, hyp: Column) -> Column:
-    """Substitutions, deletions and insertions together, natively: tokens become single characters, then levenshtein."""
+    """Substitutions, deletions and insertions together, natively: tokens become single characters, then levenshtein.
+
+    For texts of at most 35,328 distinct tokens; more are an error, and `align` is for them.
+    """
     vocabulary = F.array_distinct(F.concat(ref, hyp))
-    code = lambda tokens: F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, t) + 0x4E00), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(code(ref), code(hyp))
+    numbered = F.map_from_arrays(vocabulary, F.transform(vocabulary, lambda _, i: F.decode(F.unhex(F.lpad(F.hex(i + _FIRST_CODE), 4, "0")), "UTF-16BE")))
+    code = lambda tokens: F.array_join(F.transform(tokens, lambda t: F.element_at(numbered, t)), "")
+    return F.when(F.size(vocabulary) > _CODES, F.raise_error(F.lit("too many distinct tokens for token_distance; use align")).cast("int")).otherwise(F.levenshtein(code(ref), code(hyp)))
 
 
 def char_distance(a: Column, b: Column) -> Column:

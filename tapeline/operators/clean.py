@@ -59,20 +59,22 @@ def filter_segments(segments: DataFrame, limits: Limits = Limits()) -> DataFrame
     """Segments worth keeping. Spans below 100 ms go when they repeat what was last kept, and are lengthened otherwise.
 
     What was last kept depends on earlier decisions only through runs of short segments: a long segment is always
-    kept. So short segments are judged in their run behind the last long one, as a fold over an array of keys; no run
-    leaves the engine.
+    kept. So a run is a long segment and the short ones behind it: one array of keys, one fold, and no run leaves the engine.
     """
     by_file = W.partitionBy("file").orderBy("seg")
     raw = segments.withColumn("_next", F.lead("start").over(by_file))
     good = drop_bad(raw, limits).withColumns({"_short": milliseconds(F.col("end") - F.col("start")) < int(MIN_SPAN * 1000), "_key": phrase_key(F.col("text"))})
-    run = W.partitionBy("file").orderBy("seg").rowsBetween(W.unboundedPreceding, W.currentRow)
-    good = good.withColumn("_run", F.sum(F.when(F.col("_short"), 0).otherwise(1)).over(run))
-    in_run = W.partitionBy("file", "_run").orderBy("seg").rowsBetween(W.unboundedPreceding, -1)
-    seen = F.collect_list(F.struct("_short", "_key")).over(in_run)
-    # The key last kept before this row: replay the run's earlier rows.
-    last_kept = F.aggregate("_seen", F.lit(None).cast("string"), lambda kept, x: F.when(x["_short"] & repeats(x["_key"], kept), kept).otherwise(x["_key"]))
-    judged = good.withColumn("_seen", F.when(F.col("_short"), seen)).withColumn("_last", last_kept)
-    kept = judged.where(~(F.col("_short") & repeats(F.col("_key"), F.col("_last"))))
+    so_far = by_file.rowsBetween(W.unboundedPreceding, W.currentRow)
+    good = good.withColumn("_run", F.sum(F.when(F.col("_short"), 0).otherwise(1)).over(so_far))
+    packed = good.groupBy("file", "_run").agg(F.sort_array(F.collect_list(F.struct(F.col("seg").alias("at"), F.struct(*good.columns).alias("row")))).alias("rows"))
+    start = F.struct(F.lit(None).cast("string").alias("kept"), F.array().cast("array<boolean>").alias("stays"))
+
+    def judge(state, x):
+        again = x["row"]["_short"] & repeats(x["row"]["_key"], state["kept"])
+        return F.struct(F.when(again, state["kept"]).otherwise(x["row"]["_key"]).alias("kept"), F.concat(state["stays"], F.array(~again)).alias("stays"))
+
+    judged = packed.withColumn("stays", F.when(F.size("rows") == 1, F.array(F.lit(True))).otherwise(F.aggregate("rows", start, judge)["stays"]))
+    kept = judged.select(F.explode(F.filter(F.arrays_zip("rows", "stays"), lambda x: x["stays"])).alias("x")).select("x.rows.row.*")
     longer = F.col("start") + MIN_SPAN
     fixed = F.when(F.col("_next").isNull(), longer).otherwise(F.least(longer, F.greatest("_next", "end")))
     end = F.when(F.col("_short"), fixed).otherwise(F.col("end"))

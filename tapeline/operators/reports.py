@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,19 +47,44 @@ def checkpoints(start: Column, end: Column, step: int = 30) -> Column:
     return F.transform(F.sequence(start, F.greatest(start, end - 1), F.lit(step)), lambda s: F.struct(s.alias("start"), F.least(s + step, end).alias("end")))
 
 
+def _cells(columns: list[str]) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *(escape_pipes(F.col(c).cast("string")) for c in columns)), F.lit(" |"))
+
+
+def _table_head(columns: list[str]) -> str:
+    return "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns)
+
+
 def markdown(rows: DataFrame, key: str, columns: list[str], order: list[str], title: str) -> DataFrame:
-    """One document (column body): a section with a table for each key, lines put together in order."""
-    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *(escape_pipes(F.col(c).cast("string")) for c in columns)), F.lit(" |"))
-    head = "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns)
-    lines = rows.select(key, F.struct(*order, cells.alias("line")).alias("o"))
+    """One document (column body) of small tables: a section with a table for each key, lines put together in order."""
+    lines = rows.select(key, F.struct(*order, _cells(columns).alias("line")).alias("o"))
     sections = lines.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("o")), lambda x: x["line"]), "\n").alias("table"))
-    text = sections.select(F.struct(key, F.concat(F.lit("\n## "), F.col(key).cast("string"), F.lit(f"\n\n{head}\n"), F.col("table")).alias("s")).alias("o"))
+    text = sections.select(F.struct(key, F.concat(F.lit("\n## "), F.col(key).cast("string"), F.lit(f"\n\n{_table_head(columns)}\n"), F.col("table")).alias("s")).alias("o"))
     return text.agg(F.concat(F.lit(f"# {title}\n"), F.array_join(F.transform(F.sort_array(F.collect_list("o")), lambda x: x["s"]), "\n")).alias("body"))
 
 
-def console(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Lines of a table by printf formats: {column: format}."""
-    return rows.select(F.format_string(" ".join(columns.values()), *(F.col(c) for c in columns)).alias("line"))
+def markdown_lines(rows: DataFrame, key: str, columns: list[str], order: list[str], title: str) -> DataFrame:
+    """The same document as rows (column value) in order, of any size: written as text, its files follow one another."""
+    keys = F.col(key).cast("string")
+    body = rows.select(keys.alias("section"), F.lit(1).alias("part"), F.struct(*order).alias("o"), _cells(columns).alias("value"))
+    none = F.lit(None).cast(body.schema["o"].dataType).alias("o")
+    heads = rows.select(keys.alias("section")).distinct().select("section", F.lit(0).alias("part"), none, F.concat(F.lit("\n## "), "section", F.lit(f"\n\n{_table_head(columns)}")).alias("value"))
+    top = rows.sparkSession.range(1).select(F.lit(None).cast("string").alias("section"), F.lit(-1).alias("part"), none, F.lit(f"# {title}").alias("value"))
+    return top.unionByName(heads).unionByName(body).orderBy(F.col("section").asc_nulls_first(), "part", "o").select("value")
+
+
+def console(rows: DataFrame, columns: dict[str, str], order: list[str] | None = None, headings: dict[str, str] | None = None, missing: str = "-") -> DataFrame:
+    """Lines of a table by printf formats, {column: format}. With headings, a line of them and a rule come first; nulls show as `missing`."""
+    width = {c: re.match(r"%(-?\d*)", f)[1] for c, f in columns.items()}
+    blank = lambda c: F.format_string(f"%{width[c]}s", F.lit(missing))
+    cell = lambda c, f: F.when(F.col(c).isNull(), blank(c)).otherwise(F.format_string(f, c))
+    keys = F.struct(*(order or list(columns)))
+    lines = rows.select(F.lit(1).alias("part"), keys.alias("o"), F.concat_ws(" ", *(cell(c, f) for c, f in columns.items())).alias("line"))
+    if headings is not None:
+        head = " ".join(f"%{width[c]}s" % headings.get(c, c) for c in columns)
+        first = rows.sparkSession.createDataFrame([(-1, head), (0, "-" * len(head))], "part int, line string")
+        lines = first.select("part", F.lit(None).cast(lines.schema["o"].dataType).alias("o"), "line").unionByName(lines)
+    return lines.orderBy("part", "o").select("line")
 
 
 def merged_summary(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

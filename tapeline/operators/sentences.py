@@ -109,5 +109,5 @@ def tags(segments: DataFrame, model: str, word_level: bool = True, sentence_leve
 
 
 def in_order(found: DataFrame) -> DataFrame:
-    """Tags of each file by start and track; the word track, an empty name, goes first."""
-    return found.orderBy("source_media", "start_time", "track", "end_time", "tag")
+    """Tags of each file together, by start and track; the word track, an empty name, goes first. No order among files."""
+    return found.repartition("source_media").sortWithinPartitions("source_media", "start_time", "track", "end_time", "tag")

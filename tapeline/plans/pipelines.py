@@ -18,7 +18,7 @@ def tag(segments: DataFrame, config: Config = Config(), classifier=None) -> Data
     limits = clean.Limits(config.no_speech_max, config.logprob_min, config.compression_max, config.artifact_gap, config.artifact_words, config.artifact_count)
     kept = clean.clean(segments, limits, config.cut_by_activity)
     if config.punctuate and classifier is not None:
-        words = models.punctuate(sentences.words_of(kept), classifier, config.mark_threshold, config.demote_marks)
+        words = models.punctuate(sentences.words_of(kept), classifier, config.mark_threshold, config.demote_marks, config.window, config.stride, config.batch_size)
         kept = models.reattach(kept, words)
     return sentences.in_order(sentences.tags(kept, config.model, config.word_level, config.sentence_level, config.sentence_gap, config.max_caption_words))
 

@@ -16,7 +16,9 @@ def read_tags(spark: SparkSession, path: str, track: str, by_basename: bool = Fa
     Media are keyed by their full path, so files of one name in two folders stay apart; by_basename joins them.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
-    numbered = lines.select(F.from_json("value", TAG_MESSAGE).alias("m"), F.monotonically_increasing_id().alias("seq"))
+    # Lines of a split are in order, splits by file and place.
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    numbered = lines.select(F.from_json("value", TAG_MESSAGE).alias("m"), place.alias("seq"))
     kept = numbered.where((F.col("m.type") == "tag") & (F.coalesce("m.data.track", F.lit("")) == track))
     found = kept.select("m.data.*", "seq")
     return found.withColumn("source_media", basename(F.col("source_media"))) if by_basename else found
@@ -64,9 +66,16 @@ def list_media(spark: SparkSession, path: str, glob: str = "*.mp4") -> DataFrame
 
 
 def has_audio(probe: Column) -> Column:
-    """Whether a probe's JSON lists an audio stream; unreadable output counts as yes, so that no file is lost."""
-    streams = F.from_json(probe, "streams array<struct<codec_type:string>>")["streams"]
-    return F.coalesce(F.exists(streams, lambda s: F.coalesce(s["codec_type"] == "audio", F.lit(False))), F.lit(True))
+    """Whether a probe of audio streams lists any; output that isn't JSON counts as yes, so that no file is lost."""
+    streams = F.get_json_object(probe, "$.streams")
+    listed = F.coalesce(F.size(F.from_json(streams, "array<string>")), F.lit(0)) > 0
+    return F.when(F.try_parse_json(probe).isNull(), True).otherwise(streams.isNotNull() & listed)
+
+
+def with_audio(media: DataFrame, probes: DataFrame) -> DataFrame:
+    """media (path, ...) without those whose probe (path, probe) lists no audio stream; unprobed ones stay."""
+    silent = probes.where(~has_audio(F.col("probe"))).select("path").distinct()
+    return media.join(silent, "path", "left_anti")
 
 
 def duration(probe: Column) -> Column:

@@ -19,35 +19,25 @@ def prompts(files: DataFrame, key: str = "asset", order: str = "seq") -> DataFra
     return files.withColumns({"prompt": F.lag(context_tail(F.col("text"))).over(by), "previous_language": F.lag("language").over(by)})
 
 
-def tail_of(text: str, limit: int = 100) -> str | None:
-    """The same tail for one text, for code that runs on state."""
-    text = text.strip()
-    if len(text) <= limit:
-        return text or None
-    window = text[-limit:]
-    cut = min((window.index(mark) + 2 for mark in (". ", "? ", "! ") if mark in window), default=None)
-    if cut is None:
-        cut = window.find(" ") + 1
-    return window[cut:].strip() or None
-
-
 OUTPUT = "asset string, seq long, prompt string, previous_language string"
 
 
 def _carry(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Each file gets what the one before left; tails come as a column, made before the state."""
     tail, language = state.get if state.exists else (None, None)
     for batch in batches:
-        out = []
-        for row in batch.sort_values("seq").itertuples(index=False):
-            out.append((key[0], row.seq, tail, language))
-            tail, language = tail_of(row.text or ""), row.language
-        yield pd.DataFrame(out, columns=["asset", "seq", "prompt", "previous_language"])
+        rows = batch.sort_values("seq", kind="stable")
+        known = rows[["tail", "language"]].astype(object).where(rows[["tail", "language"]].notna(), None)
+        before = [(tail, language), *known.itertuples(index=False, name=None)]
+        tail, language = before[-1]
+        yield pd.DataFrame({"asset": key[0], "seq": rows["seq"].to_numpy(), "prompt": [t for t, _ in before[:-1]], "previous_language": [x for _, x in before[:-1]]})
     state.update((tail, language))
 
 
 def prompts_stream(files: DataFrame) -> DataFrame:
     """A stream of (asset, seq, text, language) with prompts, one state of a tail and a language for each asset."""
-    return files.groupBy("asset").applyInPandasWithState(_carry, OUTPUT, "tail string, language string", "append", "NoTimeout")
+    tails = files.select("asset", "seq", "language", context_tail(F.col("text")).alias("tail"))
+    return tails.groupBy("asset").applyInPandasWithState(_carry, OUTPUT, "tail string, language string", "append", "NoTimeout")
 
 
 def windowed_words(events: DataFrame, delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

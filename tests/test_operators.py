@@ -72,7 +72,7 @@ def test_rates(spark):
     pair = spark.createDataFrame([(["kitten"], ["sitting"]), ([], ["ab"]), (["a", "b"], ["a", "b"])], "r array<string>, h array<string>")
     assert [r[0] for r in pair.select(metrics.cer(F.col("r"), F.col("h"))).collect()] == [0.5, 2.0, 0.0]
     asr = spark.createDataFrame([("a b c", "a c"), ("", "x")], "ref string, hyp string")
-    assert tuple(metrics.asr_scores(asr, "en").first()) == (1, 1 / 3, 2 / 5)
+    assert tuple(metrics.asr_scores(asr, "en").first()) == (1, 0.3333, 0.4)
     assert metrics.asr_scores(asr, "zh").first().wer is None
 
 
@@ -236,6 +236,10 @@ def test_reports(spark):
     body = reports.markdown(spark.createDataFrame([("x", 1, "a|b")], "k string, i int, t string"), "k", ["i", "t"], ["i"], "T").first().body
     assert body == "# T\n\n## x\n\n| i | t |\n|---|---|\n| 1 | a\\|b |"
     assert reports.console(files.limit(1), {"k": "%s", "audio_s": "%.1f"}).first().line == "s 10.0"
+    table = spark.createDataFrame([("b", 1.25), ("a", None)], "name string, wer double")
+    assert [r.line for r in reports.console(table, {"name": "%-6s", "wer": "%7.2f"}, ["name"], {"name": "file"}).collect()] == ["file       wer", "--------------", "a            -", "b         1.25"]
+    parts = spark.createDataFrame([("x", 2, "c|d"), ("x", 1, "b"), ("a", 9, "e")], "k string, i int, t string")
+    assert "\n".join(r.value for r in reports.markdown_lines(parts, "k", ["i", "t"], ["i"], "T").collect()) == reports.markdown(parts, "k", ["i", "t"], ["i"], "T").first().body
 
 
 def test_translation_scores(spark):

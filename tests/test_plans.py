@@ -8,6 +8,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from tapeline.functions.text import context_tail
 from tapeline.operators import sentences
 from tapeline.plans import config, models, pipelines
 from tapeline.schema import SEGMENT
@@ -62,8 +63,11 @@ def test_text_sources(spark, tmp_path):
     assert readers.read_categories(spark, str(tmp_path / "spec.json")).first().category == "clean"
     (tmp_path / "a.mp4").write_bytes(b"12345")
     assert readers.list_media(spark, str(tmp_path)).first().length == 5
-    probes = spark.createDataFrame([('{"streams":[{"codec_type":"video"}]}',), ('{"streams":[{"codec_type":"audio"}],"format":{"duration":"2.5"}}',), ("broken",)], "p string")
-    assert [tuple(r) for r in probes.select(readers.has_audio(F.col("p")), readers.duration(F.col("p"))).collect()] == [(False, None), (True, 2.5), (True, None)]
+    probes = spark.createDataFrame([('{"programs":[],"streams":[]}',), ('{"streams":[{"index":1}],"format":{"duration":"2.5"}}',), ("broken",), ("{}",), ('{"streams":null}',), ("",)], "probe string")
+    assert [tuple(r) for r in probes.select(readers.has_audio(F.col("probe")), readers.duration(F.col("probe"))).collect()] == [(False, None), (True, 2.5), (True, None), (False, None), (False, None), (True, None)]
+    files = spark.createDataFrame([("a.mp4",), ("b.mp4",), ("c.mp4",)], "path string")
+    known = spark.createDataFrame([("a.mp4", '{"streams":[]}'), ("b.mp4", '{"streams":[{"index":0}]}')], "path string, probe string")
+    assert sorted(r.path for r in readers.with_audio(files, known).collect()) == ["b.mp4", "c.mp4"]
 
 
 def test_writers(spark, tmp_path):
@@ -83,25 +87,77 @@ def test_config():
     profiles = {"fast": {"model": "small", "word_level": False}}
     got = config.resolve(profiles, "fast", {"word_level": True})
     assert (got.model, got.word_level, got.max_caption_words) == ("small", True, 150)
-    for bad in (lambda: config.resolve(profiles, "none"), lambda: config.resolve({}, None, {"nope": 1}), lambda: config.resolve({}, None, {"max_caption_words": 0}), lambda: config.resolve({}, None, {"cut_by_activity": True, "carry_context": True}), lambda: config.overrides(["nope=1"])):
+    for bad in (lambda: config.resolve(profiles, "none"), lambda: config.resolve({}, None, {"nope": 1}), lambda: config.resolve({}, None, {"max_caption_words": 0}), lambda: config.resolve({}, None, {"backend": "none"}), lambda: config.resolve({}, None, {"model": "huge"}, models=["small"]), lambda: config.resolve({}, None, {"stride": 300}), lambda: config.overrides(["nope=1"])):
         with pytest.raises(ValueError):
             bad()
+    shipped = config.Config()
+    assert not shipped.demote_marks and (shipped.window, shipped.stride, shipped.batch_size) == (200, 150, 16)
+    assert shipped.cut_by_activity == shipped.condition_on_previous_text
+    assert config.resolve(profiles, "fast", {"carry_context": True, "cut_by_activity": True}, models=["small"]).carry_context
     assert config.overrides(["artifact_gap=5.5", "model=tiny", "punctuate=false"]) == {"artifact_gap": 5.5, "model": "tiny", "punctuate": False}
 
 
+def test_config_files(tmp_path, monkeypatch):
+    (tmp_path / "c.json").write_text(json.dumps({"storage": {"weights": "w", "parts": "~/p"}, "runtime": {"default": {"model": "tiny"}}}))
+    monkeypatch.setenv("CONFIG_PATH", str(tmp_path / "c.json"))
+    monkeypatch.delenv("WEIGHTS_DIR", raising=False)
+    found = config.load_config()
+    assert found["storage"]["weights"] == str(tmp_path / "w") and found["storage"]["parts"].endswith("/p") and "~" not in found["storage"]["parts"]
+    assert config.load_profiles() == {"default": {"model": "tiny"}}
+    monkeypatch.setenv("WEIGHTS_DIR", "/weights")
+    assert config.load_config(str(tmp_path / "c.json"))["storage"]["weights"] == "/weights"
+
+
 class FullStops:
-    def predict(self, cores):
-        return ["0"] * (len(cores) - 1) + ["."], [0.5] * len(cores)
+    def predict(self, windows):
+        return [(["0"] * (len(w) - 1) + ["."], [0.5] * len(w)) for w in windows]
 
 
 class Broken:
-    def predict(self, cores):
+    def predict(self, windows):
         raise RuntimeError("no weights")
 
 
 class Short:
-    def predict(self, cores):
-        return ["0"], [0.9]
+    def predict(self, windows):
+        return [(["0"], [0.9])] * len(windows)
+
+
+class Numbering:
+    """Labels tell window and place, so that a test sees which window a word's label came from."""
+
+    def __init__(self):
+        self.calls = []
+
+    def predict(self, windows):
+        self.calls.append(len(windows))
+        return [([f"{w[0]}:{i}" for i in range(len(w))], [1.0] * len(w)) for w in windows]
+
+
+def test_windows_of_the_classifier():
+    for n in (0, 1, 199, 200, 201, 350, 351, 1000):
+        cores, plug = [str(i) for i in range(n)], Numbering()
+        labels, sure = models.label_words(cores, plug, 200, 150, 3)
+        assert len(labels) == len(sure) == n and all(c <= 3 for c in plug.calls)
+        for i, label in enumerate(labels):
+            start, place = map(int, label.split(":"))
+            assert start + place == i and (start == 0 or place >= 25) and (place < 175 or start + 200 >= n)
+
+
+def test_failures_are_counted(spark, segments):
+    failures = spark.sparkContext.accumulator(0)
+    words = sentences.words_of(segments)
+    kept = models.punctuate(words, Broken, failures=failures)
+    assert sorted(r.word for r in kept.collect()) == sorted(r.word for r in words.collect())
+    kept.count()
+    assert failures.value == words.select("file").distinct().count()
+    with pytest.raises(Exception, match="no weights"):
+        models.punctuate(words, Broken, required=True).collect()
+
+
+def test_external_normalizer(spark):
+    df = spark.createDataFrame([(1, "Ab C"), (2, None)], "id long, t string")
+    assert [tuple(r) for r in models.normalized(df, "t", lambda: str.upper).orderBy("id").collect()] == [(1, "AB C"), (2, None)]
 
 
 def test_tagging_with_punctuation(segments):
@@ -124,9 +180,35 @@ def test_decoder_plug(spark):
     assert sorted((r.file, r.seg, r.text) for r in got) == [("a", 0, "a"), ("b", 0, "b")]
     assert models.guarded_transcribe(Canned(), "a", "bad", "en")[1] and models.guarded_transcribe(Canned(), "a", "swap", "en")[0] == "en"
     assert models.guarded_transcribe(Canned(), "a", "fine", "en")[0] == "en"
+    assert models.guarded_transcribe(Canned(), "a", "swap", None)[0] == "fr"  # nothing to compare with
+
+
+class Echo:
+    """Says the prompt that it was given; falls silent or changes its language on some."""
+
+    def transcribe(self, path, prompt=None):
+        if path == "mute" and prompt:
+            return "en", []
+        language = "fr" if path == "turn" and prompt else "en"
+        return language, [{"start": 0.0, "end": 1.0, "text": f"{path} after {prompt}. Then {path}", "avg_logprob": -0.2, "no_speech_prob": 0.0, "compression_ratio": 1.0, "temperature": 0.0, "words": []}]
+
+
+def test_decoding_with_carried_context(spark):
+    media = spark.createDataFrame([("x", 0, "one"), ("x", 1, "two"), ("x", 2, "mute"), ("x", 3, "turn"), ("y", 0, "alone")], "asset string, seq long, path string").repartition(3)
+    said = {r.file: r.text for r in models.decode_in_order(media, Echo, carry_context=True).collect()}
+    assert said["one"] == "one after None. Then one" and said["two"] == "two after one after None. Then one. Then two"
+    assert said["mute"] == "mute after None. Then mute" and said["turn"] == "turn after None. Then turn" and said["alone"] == "alone after None. Then alone"
+    assert {r.text for r in models.decode_in_order(media, Echo).collect()} == {f"{p} after None. Then {p}" for p in ("one", "two", "mute", "turn", "alone")}
+    texts = [" ", "short", "A b. " + "c" * 90 + " d", "w " * 80, "x" * 150, "No end here " + "yes! " * 30]
+    want = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(context_tail(F.col("t"))).collect()]
+    assert [models.carried_tail(t) for t in texts] == want
+
+
+ASKED = []
 
 
 def ask(texts):
+    ASKED.append(tuple(texts))
     keep = [{"id": i + 1, "text": t.upper()} for i, t in enumerate(texts) if not (len(texts) > 1 and t == "skip") and t != "never"]
     return "Sure! " + json.dumps({"translations": [*keep, {"id": 99, "text": "x"}]}) + " done"
 
@@ -146,7 +228,7 @@ def test_calibrate(spark):
     assert per["clean"].true_wer == pytest.approx(1 / 7) and per["clean"].wer_lo <= per["clean"].true_wer <= per["clean"].wer_hi
     hyps = spark.createDataFrame([("/m/a.mp4", "one two")], "name string, hyp string")
     refs = spark.createDataFrame([("A_long", "one two three")], "key string, ref string")
-    assert pipelines.benchmark(hyps, refs).first().wer == pytest.approx(1 / 3)
+    assert pipelines.benchmark(hyps, refs).first().wer == 0.3333
 
 
 def test_context(spark, tmp_path):
