@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import normalize, numbers, punctuation, subtitles, text
 from .operators import alignment, bootstrap, clean, metrics, pairing, reports, sentences, translation
-from .sources import writers
+from .sources import readers, writers
 from .streaming import context
 
 _QUERIES: dict = {}
@@ -36,8 +36,13 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+#: Tables whose queries compute long on each row.
+_TEXTS = ("documents", "conversations", "pages")
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return readers.spread(found) if name in _TEXTS else found
 
 
 _long = lambda c, name: c.cast("long").alias(name)
@@ -134,11 +139,14 @@ def basic_normalizer(spark, sf_dir):
 
 
 def turn_pairs(spark, sf_dir) -> DataFrame:
-    """User turns with the assistant turn after them, as reference and hypothesis."""
+    """User turns with the assistant turn after them, as reference and hypothesis.
+
+    Dealt over all cores: aligning costs far more than moving a pair, and small tables end up in one task.
+    """
     turns = _t(spark, sf_dir, "conversations")
     u = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("ref"))
     a = turns.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
-    return u.join(a, ["conv_id", "turn"])
+    return u.join(a, ["conv_id", "turn"]).repartition(2 * spark.sparkContext.defaultParallelism)
 
 
 _PAIRS_SQL = "SELECT u.conv_id, u.turn, u.text AS ref, a.text AS hyp FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'"

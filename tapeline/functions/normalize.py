@@ -63,8 +63,21 @@ def clean_token(token: Column, keep_apostrophes: bool = True) -> Column:
     return F.filter(F.transform(F.split(bare, " "), lambda p: F.trim(p, F.lit("'"))), lambda p: p != "")
 
 
+def _pieces(text: Column, keep_apostrophes: bool) -> Column:
+    """The word pieces of a whole text, as clean_token gives them for its words, by one pass and one split."""
+    straight = F.translate(text, "’", "'")
+    bare = F.regexp_replace(straight, r"[^\p{L}\p{N}_']+" if keep_apostrophes else r"[^\p{L}\p{N}_]+", " ")
+    if keep_apostrophes:
+        bare = F.when(F.contains(bare, F.lit("'")), F.regexp_replace(bare, "(?<![^ ])'+|'+(?![^ ])", "")).otherwise(bare)
+    bare = F.trim(bare)
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, " +"))
+
+
 def tokens(text: Column, rules: Rules = Rules(), reference: bool = True, compatible_form: bool = False) -> Column:
-    """Scoring tokens as an array. compatible_form: the text is in NFKC form already (needed inside lambdas)."""
+    """Scoring tokens as an array. compatible_form: the text is in NFKC form already (needed inside lambdas).
+
+    Only texts with digits, on the side that spells them, are taken word by word.
+    """
     out = text if compatible_form else compatible(text)
     if rules.strip_annotations:
         out = strip_annotations(out)
@@ -72,15 +85,16 @@ def tokens(text: Column, rules: Rules = Rules(), reference: bool = True, compati
         out = F.lower(out)
     if rules.split_hyphens:
         out = F.regexp_replace(out, "[-–—]", " ")
-    pieces = lambda t: clean_token(t, rules.keep_apostrophes)
     spell = rules.spell_reference if reference else rules.spell_hypothesis
 
-    def kept(t: Column) -> Column:
-        found = pieces(t)
+    def kept(found: Column) -> Column:
         return F.filter(found, lambda p: ~p.isin(*FILLERS)) if rules.drop_fillers else found
 
-    each = (lambda t: F.when(t.rlike(NUMBER), F.split(number_words(t), " ")).otherwise(kept(t))) if spell else kept
-    return F.flatten(F.transform(words_of(out), each))
+    plain = kept(_pieces(out, rules.keep_apostrophes))
+    if not spell:
+        return plain
+    each = lambda t: F.when(t.rlike(NUMBER), F.split(number_words(t), " ")).otherwise(kept(clean_token(t, rules.keep_apostrophes)))
+    return F.when(out.rlike("[0-9]"), F.flatten(F.transform(words_of(out), each))).otherwise(plain)
 
 
 def lines_of_tokens(text: Column, rules: Rules = Rules(), reference: bool = True) -> Column:
@@ -104,7 +118,7 @@ def without_spaces(text: Column) -> Column:
     return F.regexp_replace(text, SPACE + "+", "")
 
 
-#: Languages scored by characters only.
+# Languages scored by characters only.
 UNSEGMENTED = ("zh", "ja", "yue", "th", "lo", "my", "km")
 
 

@@ -10,6 +10,21 @@ from ..functions.text import basename, stem
 from ..schema import EXCERPT_FILE, TAG_MESSAGE
 
 
+#: One split of a scan, by default.
+SPLIT_BYTES = 128 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A stored table of one file below one split is read by one task however many cores there are: its rows are dealt over them.
+
+    Larger tables stay as they are.
+    """
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SPLIT_BYTES or len(table.inputFiles()) != 1:
+        return table
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism)
+
+
 def read_tags(spark: SparkSession, path: str, track: str, by_basename: bool = False) -> DataFrame:
     """Tags of one track from JSON lines, with `seq` for stable order of equal starts. Blank and other lines are skipped.
 
