@@ -499,15 +499,22 @@ def paused_segments(spark, sf_dir) -> DataFrame:
     return c.select(F.concat_ws("#", "conv_id", "turn").alias("file"), F.lit(0).alias("seg"), F.lit(0.0).alias("start"), F.lit(900.0).alias("end"), F.rtrim("text", F.lit(".?!")).alias("text"), F.lit(-0.2).alias("avg_logprob"), F.lit(0.01).alias("no_speech_prob"), F.lit(1.0).alias("compression_ratio"), F.lit(0.0).alias("temperature"), F.transform(normalize.words_of(F.rtrim("text", F.lit(".?!"))), one).alias("words"))
 
 
-@query(f"""WITH RECURSIVE w AS (SELECT concat_ws('#', conv_id, turn) AS file, word, pos, pos * 0.5 + (pos // 5) * (pos // 5) * 0.125 + (pos // 17) * 6.0::DOUBLE AS s, {_ENDS_SQL} AS closes FROM ({_WORDS_SQL.replace("SELECT conv_id, turn, " + _SPLIT_SQL.format('text'), "SELECT conv_id, turn, " + _SPLIT_SQL.format("rtrim(text, '.?!')"))})),
+def _paused_words_sql() -> str:
+    """The words of paused_segments with their starts."""
+    return f"""SELECT concat_ws('#', conv_id, turn) AS file, word, pos, pos * 0.5 + (pos // 5) * (pos // 5) * 0.125 + (pos // 17) * 6.0::DOUBLE AS s, {_ENDS_SQL} AS closes FROM ({_WORDS_SQL.replace("SELECT conv_id, turn, " + _SPLIT_SQL.format('text'), "SELECT conv_id, turn, " + _SPLIT_SQL.format("rtrim(text, '.?!')"))})"""
+
+
+_BOUNDED_SQL = f"""WITH RECURSIVE w AS ({_paused_words_sql()}),
 a AS (SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sid, s - lag(s + 0.25) OVER (PARTITION BY file ORDER BY pos) AS gap, last_value(closes) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS closed FROM w),
 b AS (SELECT *, CASE WHEN NOT closed AND sid = max(sid) OVER (PARTITION BY file) AND lag(sid) OVER (PARTITION BY file ORDER BY pos) = sid AND gap > 5 THEN 1 ELSE 0 END AS cut FROM a),
 c AS (SELECT *, sid + sum(cut) OVER (PARTITION BY file ORDER BY pos ROWS UNBOUNDED PRECEDING) AS grp FROM b),
 l AS (SELECT file, grp, list(word ORDER BY pos) AS ws, list(gap ORDER BY pos) AS gaps, list((pos * 37 + 11) % 128 / 128.0::DOUBLE ORDER BY pos) AS pr, list(s ORDER BY pos) AS ss FROM c GROUP BY file, grp),
 cuts AS (SELECT file, grp, 0::BIGINT AS lo, len(ws) AS hi, gaps FROM l
  UNION ALL SELECT file, grp, unnest([lo, m]), unnest([m, hi]), gaps FROM (SELECT *, lo + list_position(gaps[lo + 2 : hi], list_max(gaps[lo + 2 : hi])) AS m FROM cuts WHERE hi - lo > 12)),
-p AS (SELECT l.file, l.grp, lo, trim(array_to_string(ws[lo + 1 : hi], ' ')) AS text, list_min(pr[lo + 1 : hi]) AS mi, list_avg(pr[lo + 1 : hi]) AS me, ss[lo + 1] AS start, ss[hi] + 0.25 AS stop FROM cuts JOIN l ON l.file = cuts.file AND l.grp = cuts.grp WHERE hi - lo <= 12)
-SELECT file, row_number() OVER (PARTITION BY file ORDER BY grp, lo) - 1 AS sentence, start, stop AS end, text, round(mi, 4) AS min_word_probability, round(me, 4) AS mean_word_probability FROM p WHERE text <> ''""")
+p AS (SELECT l.file, l.grp, lo, trim(array_to_string(ws[lo + 1 : hi], ' ')) AS text, list_min(pr[lo + 1 : hi]) AS mi, list_avg(pr[lo + 1 : hi]) AS me, ss[lo + 1] AS start, ss[hi] + 0.25 AS stop FROM cuts JOIN l ON l.file = cuts.file AND l.grp = cuts.grp WHERE hi - lo <= 12)"""
+
+
+@query(_BOUNDED_SQL + " SELECT file, row_number() OVER (PARTITION BY file ORDER BY grp, lo) - 1 AS sentence, start, stop AS end, text, round(mi, 4) AS min_word_probability, round(me, 4) AS mean_word_probability FROM p WHERE text <> ''")
 def sentence_bounded(spark, sf_dir):
     """Open ends split at long pauses, and captions of more than twelve words at their widest pause."""
     return sentences.to_sentences(paused_segments(spark, sf_dir), max_gap=5.0, max_words=12).select("file", "sentence", "start", "end", "text", "min_word_probability", "mean_word_probability")
@@ -527,10 +534,15 @@ def word_affixes(spark, sf_dir):
 _LABEL_SQL = "['0', '.', ',', '?', '-', ':'][(pos * 5 + turn) % 6 + 1]"
 
 
-@query(f"""WITH a AS (SELECT conv_id, turn, pos, word, {_AFFIX_SQL}, {_LABEL_SQL} AS label, ((pos * 31) % 100) / 100.0::DOUBLE AS conf FROM ({_WORDS_SQL})),
+def _merged_sql() -> str:
+    """Words of turns with core, the mark to write, and the one with demotion."""
+    return f"""WITH a AS (SELECT conv_id, turn, pos, word, {_AFFIX_SQL}, {_LABEL_SQL} AS label, ((pos * 31) % 100) / 100.0::DOUBLE AS conf FROM ({_WORDS_SQL})),
 b AS (SELECT *, trail <> '' AND right(trail, 1) IN ('.', '!', '?', '…', '。', '？', '！') AS te, label IN ('.', '?') AS le, CASE WHEN label = '0' THEN '' ELSE label END AS plain FROM a)
-SELECT conv_id, turn, pos::BIGINT AS pos, CASE WHEN te AND NOT le THEN CASE WHEN conf >= 0.9 THEN plain ELSE trail END WHEN te THEN trail WHEN le THEN label WHEN trail <> '' THEN trail ELSE plain END AS demoted,
- CASE WHEN te THEN trail WHEN le THEN label WHEN trail <> '' THEN trail ELSE plain END AS mark FROM b""")
+SELECT conv_id, turn, pos, word, core, CASE WHEN te AND NOT le THEN CASE WHEN conf >= 0.9 THEN plain ELSE trail END WHEN te THEN trail WHEN le THEN label WHEN trail <> '' THEN trail ELSE plain END AS demoted,
+ CASE WHEN te THEN trail WHEN le THEN label WHEN trail <> '' THEN trail ELSE plain END AS mark FROM b"""
+
+
+@query(f"SELECT conv_id, turn, pos::BIGINT AS pos, mark, demoted FROM ({_merged_sql()})")
 def merge_mark(spark, sf_dir):
     labels = F.array(*(F.lit(x) for x in ("0", ".", ",", "?", "-", ":")))
     label = F.get(labels, ((F.col("pos") * 5 + F.col("turn")) % 6).cast("int"))
@@ -805,4 +817,4 @@ def markdown_report(spark, sf_dir):
     return reports.markdown(rows, "r_name", ["n_nationkey", "n_name"], ["n_nationkey"], "Nations")
 
 
-
+from . import catalog_rows  # noqa: E402, F401  (registers its queries here)
