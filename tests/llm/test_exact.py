@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -206,16 +207,18 @@ def test_bwt_merge(docs, rows, empty):
     expected = Counter((i, *want[-1 if i is None else i, t or ""]) for i, t, *_ in plain)
     names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert collected(bwt_merge.dedup(sub), *names) == expected
-    # Every key by the hash path, and tiny batches on the other.
-    assert collected(bwt_merge.dedup(sub, max_runs=0), *names) == expected
+    # Tiny batches; every key dealt over tasks; every key crowded, alone and with the rest.
     assert collected(bwt_merge.dedup(sub, batch_bytes=300), *names) == expected
+    assert collected(bwt_merge.dedup(sub, hot_share=1 << 40), *names) == expected
+    assert collected(bwt_merge.dedup(sub, key_bytes=150, hot_share=1 << 40), *names) == expected
+    assert collected(bwt_merge.dedup(sub, key_bytes=0), *names) == expected
     assert bwt_merge.dedup(docs, keep_bytes=True).count() == len(rows)
     assert bwt_merge.dedup(empty).count() == 0
 
 
 def test_merge_transforms_finds_repeated_intervals():
     rng = np.random.default_rng(2)
-    for rounds in (1, 5, 9):
+    for rounds in (1, 4, 5, 8, 9):
         segments = [bytes(rng.integers(97, 99, rng.integers(1, 60), dtype=np.uint8)) for _ in range(40)]
         owner, place, block = bwt_merge.merge_transforms(segments, rounds, shard_bytes=50)
         groups = defaultdict(set)
@@ -383,74 +386,73 @@ def _cut_up(table, rng):
         at += n
 
 
-def test_streams_are_the_same_in_any_batches():
+def test_settling_is_the_same_in_any_batches():
+    """Salted, merged and crowded keys over any cuts of the stream: in the end the same windows go."""
     import pyarrow as pa
 
     rng = np.random.default_rng(9)
-    names = ["key", "seg", "off", "n", "ord", "th", "start"]
-    for _ in range(60):
-        x = rng.integers(0, 3, (int(rng.integers(1, 40)), 7))
-        x = x[np.lexsort(x.T[::-1])]
-        table = pa.table({c: pa.array(x[:, k]) for k, c in enumerate(names)})
-        want = Counter()
-        for key in set(x[:, 0].tolist()):
-            of_key = [tuple(r) for r in x[x[:, 0] == key].tolist()]
-            runs = {}
-            for r in of_key:
-                first = runs.setdefault(r[:4], r)
-                if r[4:] != first[4:]:
-                    want[0, *r[4:]] += 1
-            if len(runs) > 1:
-                for r in runs.values():
-                    want[1, *r[4:]] += 1
-        got = Counter()
-        for batch in bwt_merge._sift(_cut_up(table, rng)):
-            for r in batch.to_pylist():
-                got[r["kind"], r["ord"], r["th"], r["start"]] += 1
+    for turn in range(40):
+        window, rows = 4, []
+        for k in range(int(rng.integers(1, 40))):
+            key = int(rng.integers(0, 3))  # equal windows have equal keys: each key has letters of its own
+            rows.append((key, -1, k // 3, 0, 10 * (k % 3), bytes(rng.integers(97 + 2 * key, 99 + 2 * key, rng.integers(4, 8), dtype=np.uint8))))
+        rows += [r for r in rows if rng.random() < 0.1]
+        seen, want = set(), set()
+        for key, _, o, t, start, seg in sorted(set(rows), key=lambda r: (r[0], r[2:5])):
+            for i in range(len(seg) - window + 1):
+                w = key, seg[i : i + window]
+                if w in seen:
+                    want.add((o, start + i))
+                seen.add(w)
+        got, level = set(), [(r[0], int(rng.integers(0, 3)) if turn % 2 else -1, *r[2:]) for r in rows]
+        key_bytes = [10**9, 12][turn // 2 % 2]
+        while level:
+            level.sort(key=lambda r: r[:5])
+            table = pa.table({c: pa.array([r[i] for r in level], t) for i, (c, t) in enumerate((("key", pa.int64()), ("salt", pa.int32()), ("ord", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("segment", pa.binary())))})
+            level = []
+            for batch in bwt_merge.settle(_cut_up(table, rng), window, int(rng.integers(1, 60)), key_bytes):
+                for r in batch.to_pylist():
+                    if r["kind"] == bwt_merge.REMOVED:
+                        got |= {(r["ord"], r["start"] + i) for i in range(r["n"])}
+                    elif r["kind"] == bwt_merge.FIRST:
+                        level.append((r["key"], -1, r["ord"], r["th"], r["start"], r["segment"]))
+                    else:
+                        for i in range(r["n"]):
+                            w = r["segment"][i : i + window]
+                            level.append((r["key"] + 1000 * (1 + int.from_bytes(w, "big")), -1, r["ord"], r["th"], r["start"] + i, w))
         assert got == want
 
 
-def test_columns_of_any_name_keep_their_values(spark):
-    """Columns named like those that the operators make pass through by value."""
-    names = "_source _slot _share _hash _kept _doc _id _n row of draw range at rank block slot span spans place n before first rows common h1 body places id hash kept n_lines n_dropped a.b on_target release deadline".split()
-    texts = ["The very same long line stands in many documents, as it says.\nown line %d" % k for k in range(8)] + [None, "", "short"]
-    given = [(k, t, ["a", "b", None][k % 3], *(f"{k}:{n}" for n in names)) for k, t in enumerate(texts)]
-    given += [(None, texts[0], "a", *(f"x:{n}" for n in names)), given[3]]
-    docs = spark.createDataFrame(given, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)).repartition(2)
-    mixed = pfair.mixed(docs, block_docs=2)
-    assert mixed.columns == docs.columns and Counter(map(tuple, mixed.collect())) == Counter(given)
-    cleaned = line_runs.clean(docs)
-    kept = lambda r: (r[0], r[1].split("\n")[1] if r[1] and r[0] != 7 and "\n" in r[1] else r[1], *r[2:])
-    assert cleaned.columns == docs.columns and Counter(map(tuple, cleaned.collect())) == Counter(map(kept, given))
-
-
-def test_divergence_distances(docs, rows):
-    """Distances and verdicts against a plain computation, with languages of their own, rare ones and null."""
-    import math
-
-    classes = [re.compile(p) for p in ("[A-Z]", "[0-9]", r"[.,;:!?'\"()-]", r"[#*$%&|<>]", f"[{BLANKS}]", r"[^\x00-\x7f]")]
-    texts = [(i, lang, t or "", t is None) for i, t, lang, *_ in rows]
-    size = Counter(lang for _, lang, _, missing in texts if lang is not None and not missing)
-    ref = lambda lang: lang if size.get(lang, 0) >= 20 else "*"
-    histogram = lambda t: (lambda c: [*c, len(t) - sum(c)])([len(p.findall(t)) for p in classes])
-    sums, words = defaultdict(lambda: [0] * 7), defaultdict(Counter)
-    for _, lang, t, _ in texts:
-        for k in {ref(lang), "*"}:
-            sums[k] = [a + b for a, b in zip(sums[k], histogram(t), strict=True)]
-            words[k].update(WORD.findall(t))
-
-    def distance(p, q):
-        part = lambda a, m: a * math.log2(a / m) if a > 0 else 0
-        return math.sqrt(max(sum((part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2 for a, b in zip(p, q, strict=True)), 0))
-
-    want = defaultdict(list)
-    for i, lang, t, _ in texts:
-        k, own, mine = ref(lang), histogram(t), Counter(WORD.findall(t))
-        top = sorted((w for w in words[k] if len(w) <= 4), key=lambda w: (-words[k][w], w.encode()))[:24]
-        n, total = max(sum(mine.values()), 1), max(sum(words[k].values()), 1)
-        p, q = [mine[w] / n for w in top], [words[k][w] / total for w in top]
-        rest = lambda x: [*x, max(1 - sum(x), 0)]
-        want[i].append((distance([x / max(sum(own), 1) for x in own], [x / max(sum(sums[k]), 1) for x in sums[k]]), distance(rest(p), rest(q)), t))
-    assert {ref(r[2]) for r in rows} == {"en", "fr", "*"}
-    for r in divergence.judge(docs).collect():
-        assert any(abs(r.class_distance - a) < 1e-9 and abs(r.word_distance - b) < 1e-9 for a, b, _ in want[r.doc_id]), r
+def test_pfair_equals_a_plain_schedule(docs, rows, empty):
+    """Slot by slot over all released blocks, with rationals; and each source's documents in the order of their draws."""
+    from pyspark.sql import functions as F
+
+    block = 2
+    supply = Counter("0" if r[3] is None else "1" + r[3] for r in rows)
+    blocks = {k: -(-n // block) for k, n in supply.items()}
+    weight = {k: Fraction(n**0.7) for k, n in supply.items()}
+    total = sum(weight.values())
+    share = {k: w / total for k, w in weight.items()}
+    window = lambda k, j: (math.floor(j / share[k]), math.ceil((j + 1) / share[k]))
+    placed, done, slot, on_target = {}, dict.fromkeys(supply, 0), 0, True
+    while len(placed) < sum(blocks.values()):
+        # A source without a block left keeps its turn once, unseen: there the bound ends.
+        ready = [(window(k, j)[1], -share[k], k, j) for k, j in done.items() if j <= blocks[k] and window(k, j)[0] <= slot]
+        if ready:
+            _, _, k, j = min(ready)
+            if j < blocks[k]:
+                placed[k, j] = (slot, *window(k, j), on_target)
+            else:
+                on_target = False
+            done[k] = j + 1
+        slot += 1
+    drawn = defaultdict(list)
+    for r in docs.select("doc_id", "source", F.xxhash64(F.lit(17), F.col("doc_id"), F.xxhash64("text")).alias("draw")).collect():
+        drawn["0" if r.source is None else "1" + r.source].append((r.draw & (1 << 64) - 1, r.draw, r.doc_id))
+    want = Counter()
+    for k, found in drawn.items():
+        found.sort(key=lambda x: (x[0] >> 52, x[1], x[2] is not None, x[2] or 0))
+        for rank, (_, _, doc) in enumerate(found):
+            want[doc, k, rank // block, rank % block, *placed[k, rank // block]] += 1
+    got = Counter((r.doc_id, "0" if r.source is None else "1" + r.source, r.block, r.place, r.slot, r.release, r.deadline, r.on_target) for r in pfair.order(docs, block_docs=block).collect())
+    assert got == want

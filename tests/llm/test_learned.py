@@ -71,6 +71,83 @@ def test_forward_backward_is_exact():
         assert np.allclose(got[a:b], one / mass)
 
 
+def test_cuts_into_segments_change_nothing():
+    rng = np.random.default_rng(1)
+    bounds = np.cumsum([0, 1, 40, 7, 300, 2])
+    unary, trans, start = rng.normal(size=bounds[-1]), rng.normal(size=(2, 2)), rng.normal(size=2)
+    p, pairs, first = line_crf.forward_backward(unary, bounds, trans, start, with_pairs=True, segment=10**6)
+    for segment in (1, 3, 16, 100):
+        got = line_crf.forward_backward(unary, bounds, trans, start, with_pairs=True, segment=segment)
+        assert np.allclose(got[0], p) and np.allclose(got[1], pairs) and np.allclose(got[2], first)
+    assert np.isclose(pairs.sum(), bounds[-1] - 5) and np.isclose(first.sum(), 5)
+
+
+def test_line_targets_meet_their_shares():
+    rng = np.random.default_rng(2)
+    bounds = np.cumsum([0, *rng.integers(1, 30, 40)])
+    y, length = rng.integers(0, 2, 40), rng.integers(0, 90, bounds[-1])
+    unary, trans, start = rng.normal(size=bounds[-1]), rng.normal(size=(2, 2)), np.zeros(2)
+    p = line_crf.forward_backward(unary, bounds, trans, start)
+    q, pairs, _ = line_crf.line_targets(unary, length, bounds, trans, start, y, 0.5, 0.9)
+    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        good = lambda x: np.average(x[a:b], weights=length[a:b] + 1.0)  # noqa: B023, E731
+        enough = good(p) >= 0.9 if y[k] else 1 - good(p) >= 0.5
+        assert np.allclose(p[a:b], q[a:b]) if enough else (good(q) >= 0.9 - 1e-6 if y[k] else 1 - good(q) >= 0.5 - 1e-6)
+    assert pairs[0, 1] > 0 and pairs[1, 0] > 0  # labels do change inside documents
+
+
+def test_chunks_of_lines_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [b"", b"\n\n", b"one line of words words", b"x" * 500, " ".join(WORDS["fr"] * 30).encode(), b"a b a b\n" * 50, bytes(rng.integers(32, 127, 3000, dtype=np.uint8)).replace(b"~", b"\n")]
+    features, length, first_line = line_crf.line_features(texts)
+    w = rng.normal(size=features.shape[1]).astype(np.float32)
+    want = features @ w + 0.5
+    assert [len(t) - t.count(b"\n") for t in texts] == [length[a:b].sum() for a, b in zip(first_line[:-1], first_line[1:], strict=True)]
+    monkeypatch.setattr(line_crf, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(line_crf, "CHUNK_BYTES", 700)
+    assert np.allclose(line_crf.unaries(texts, w, 0.5)[0], want, atol=1e-3)
+    model = {"w": w, "b": 0.5, "trans": rng.normal(size=(2, 2)), "start": rng.normal(size=2), "a": 1.0, "c": 0.1}
+    together = line_crf.score_texts(model, texts)
+    assert np.allclose(together, [line_crf.score_texts(model, [t])[0] for t in texts])
+
+
+def test_queries_equal_the_models_on_whole_texts(spark):
+    """The distributed scores are those of the trained model on each whole text, however rows are dealt over tasks and slices."""
+    rows, docs, labels = tables(spark)
+    texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    good = line_crf.fit(docs, labels)
+    same = lambda got, want: len(got) == len(want) and all(a[0] == b[0] and np.allclose(a[1:], b[1:], atol=1e-4) for a, b in zip(sorted(got), sorted(want), strict=True))
+    assert same([(str(r.doc_id), r.score) for r in line_crf.classify(docs.repartition(5), labels).collect()], [(str(i), float(line_crf.score_texts(good, [t])[0])) for i, t in texts])
+    lang = lang_cnn.fit(docs)
+    want = sorted((str(i), lang_cnn.predict_texts(lang, [t])[0][0]) for i, t in texts)
+    assert sorted((str(r.doc_id), r.lang_pred) for r in lang_cnn.identify(docs.repartition(5)).collect()) == want
+    toxic = tox_chain.fit(docs, labels)
+    got = [(str(r.doc_id), *(r[f"p_{c}"] for c in toxic["names"])) for r in tox_chain.detect(docs.repartition(5), labels).collect()]
+    assert same(got, [(str(i), *tox_chain.score_texts(toxic, [t])[0].tolist()) for i, t in texts])
+
+
+def test_a_fold_does_not_teach_its_own_predictions(monkeypatch):
+    """Terms and models behind a fold's predictions come from the other folds: turning the fold's labels round changes none of them."""
+    rows = corpus(n=120)
+    terms, doc = tox_chain.terms_of([t.encode() for _, t, *_ in rows])
+    toxic, good = np.array([r[4] for r in rows], dtype=float), np.array([r[3] for r in rows], dtype=float)
+    fold = np.arange(120) % 3
+    fitted = []
+    plain = tox_chain._fit_logistic
+    monkeypatch.setattr(tox_chain, "_fit_logistic", lambda x, y, **k: fitted.append((len(y), plain(x, y, **k))) or fitted[-1][1])
+    labels = np.stack([toxic * (1 - good), toxic], axis=1)
+    tox_chain.train(["junk", "toxic"], labels, fold, terms, doc)
+    first = [theta for n, theta in fitted if n < 120]
+    fitted.clear()
+    turned = labels.copy()
+    turned[fold == 0] = 1 - turned[fold == 0]
+    tox_chain.train(["junk", "toxic"], turned, fold, terms, doc)
+    again = [theta for n, theta in fitted if n < 120]
+    assert len(first) == len(again) == 6
+    assert np.allclose(first[0], again[0])  # the first category's model for fold 0
+    assert not all(np.allclose(a, b) for a, b in zip(first[1:3], again[1:3], strict=True) if len(a) == len(b))
+
+
 def test_lang_cnn(spark, empty):
     rows, docs, _ = tables(spark)
     got = lang_cnn.identify(docs).collect()

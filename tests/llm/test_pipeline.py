@@ -63,3 +63,58 @@ def test_registered():
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "lines", "near_duplicates", "mix", "pack"] and corpus_pipeline.ORACLE_SQL is None
     assert len(queries.QUERIES) == 10 and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_stages_on_odd_rows(spark, docs, rows, empty):
+    """Each stage, on nulls, empty and very long texts, ties, repeated rows and clashing columns, against a plain version: whole rows."""
+    from collections import Counter, defaultdict
+
+    from test_exact import ASCII_LOWER, BLANKS, brute_components
+
+    from tapeline.llm import line_crf
+
+    given, columns = Counter(rows), docs.columns
+    of = lambda df: Counter(tuple(r) for r in df.collect())
+
+    labels = queries.table(spark, SF, "labels")
+    model = line_crf.fit(docs, labels)
+    good = Counter({r: n for r, n in given.items() if line_crf.score_texts(model, [(r[1] or "").encode()])[0] >= 0.3})
+    kept = corpus_pipeline.quality(spark, docs, SF)
+    assert kept.columns == columns and of(kept) == good
+
+    key = lambda line: line.strip(BLANKS).translate(ASCII_LOWER)
+    held = defaultdict(set)
+    for i, t, *_ in rows:
+        for line in (t or "").split("\n"):
+            if i is not None:
+                held[key(line)].add(i)
+    common = {k: max(v) for k, v in held.items() if len(k) >= 40 and len(v) >= 5}
+
+    def cleaned(r):
+        if r[1] is None:
+            return r
+        lines = r[1].split("\n")
+        left = [x for x in lines if common.get(key(x), r[0]) == r[0]]
+        text = "\n".join(left)
+        return (r[0], text, r[2], r[3], len(text) if len(left) < len(lines) else r[4], *r[5:])
+
+    got = corpus_pipeline.lines(spark, docs, SF)
+    assert got.columns == columns and of(got) == Counter(map(cleaned, given.elements())) and common
+
+    parts = {i: (n, c) for i, n, c in sorted(brute_components(rows, 5, 80), key=lambda x: x[1]) if i is not None}
+    alone = [r for r in given.elements() if r[0] is None or not parts[r[0]][0]]
+    firsts = defaultdict(list)
+    for r in given:
+        if r[0] is not None and parts[r[0]][0] and parts[r[0]][1] == r[0]:
+            firsts[r[0]].append(r)
+    want = Counter(alone) + Counter(min(found, key=lambda r: (r[1] is None, -len(r[1] or ""), (r[1] or "").encode())) for found in firsts.values())
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == columns and of(got) == want
+
+    mixed = corpus_pipeline.mix(spark, docs, SF)
+    assert mixed.columns == columns and of(mixed) == given
+    packed = corpus_pipeline.pack(spark, store(mixed, scratch_dir(spark)), SF)
+    assert Counter(r.doc_id for r in packed.where("piece = 0").collect()) == Counter(r[0] for r in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, empty, SF)
+        assert found.count() == 0 and (name == "pack" or found.columns == columns)
