@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, text_slices
+from .common import fold_of, join_counted, text_slices
 
 WINDOW = 128
 EMBED = 8
@@ -166,10 +166,12 @@ def fit(docs: DataFrame, max_per_lang: int = 300, max_docs: int = 30_000, window
     per_lang = max(1, min(max_per_lang, max_docs // n_langs))
     # A hash threshold per language leaves about three times the rows wanted, so that no large group is ranked.
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    light = taught.select(F.col("lang").alias("language"), "doc_id", draw.alias("draw"), F.col("text").cast("string").alias("body"))
-    near = light.join(counted.withColumnRenamed("lang", "language"), "language").where(F.col("draw") < (F.lit(1 << 30) / F.col("n") * (3 * per_lang + 20)))
-    cuts = [F.substring("body", (F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.length("body") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for i in range(windows_per_doc)]
-    cut = near.select("language", "doc_id", "draw", F.array(*cuts).alias("cuts"))
+    body = F.col("text").cast("string")
+    cuts = [F.substring(body, (F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.length(body) - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for i in range(windows_per_doc)]
+    light = taught.select(F.col("lang").alias("language"), "doc_id", draw.alias("draw"), F.array(*cuts).alias("cuts"))
+    sizes = counted.select(F.col("lang").alias("language"), F.col("n").alias("rows"), "n")
+    near = join_counted(light, sizes, ["language"], counted.agg(F.sum("n")).first()[0])
+    cut = near.where(F.col("draw") < (F.lit(1 << 30) / F.col("n") * (3 * per_lang + 20))).drop("n")
     ranked = cut.withColumn("place", F.row_number().over(W.partitionBy("language").orderBy("draw", "doc_id", "cuts"))).where(F.col("place") <= per_lang)
     rows = sorted(ranked.select("language", "draw", "doc_id", "cuts").collect())
     langs = sorted({r.language for r in rows})
