@@ -180,7 +180,7 @@ def scan(best: Best, asked: np.ndarray, q: np.ndarray, q_original: np.ndarray, x
     return work
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", train_vectors: int = 20_000, max_lists: int = 2500, group_vectors: int = 32_768, query_block: int = 20_000, target_recall: float = 0.95, epsilon: float = 2.1, seed: int = 5) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", train_vectors: int = 20_000, max_lists: int = 2500, group_vectors: int = 32_768, query_block: int = 20_000, target_recall: float = 0.98, epsilon: float = 2.1, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score of each query's nearest. is_query: a condition on vec_id."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
