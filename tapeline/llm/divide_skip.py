@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import HOT_KEYS, Scratch, free_shuffles, join_counted, text_slices
-from .components import components, find, unite
+from .components import components
 from .textbytes import mix
 
 _U = np.uint64
@@ -98,6 +98,9 @@ def linked(common: np.ndarray | int, a: int, b: np.ndarray | int, percent: int):
     return (100 + percent) * common >= percent * (a + b)
 
 
+PROBED_LISTS = 16
+
+
 def search(ids: list[int], sets: list[np.ndarray], percent: int, sides: list[int] | None = None, short_list: int = 8, every: bool = False):
     """Links (x, y) of the sets of one task: those needed for a union, or every one. sides: only pairs across 0 and 1."""
     order = np.argsort([len(s) for s in sets], kind="stable")
@@ -114,8 +117,22 @@ def search(ids: list[int], sets: list[np.ndarray], percent: int, sides: list[int
     postings = list_no * len(order) + posted  # all lists behind one another: ascending, so one binary search probes any
     ends = np.cumsum(sizes)
     side = None if sides is None else np.array(sides)[order]
-    named = [ids[i] for i in order]
-    parent: dict[int, int] = {}
+    named = np.array([ids[i] for i in order])
+    group = np.unique(named, return_inverse=True)[1]  # the component of each set so far; rows of one id are one from the start
+
+    def confirmed(x: int, others: np.ndarray, counts: np.ndarray, long: np.ndarray) -> np.ndarray:
+        """Which of the candidates reach the overlap. Long lists are probed some at a time; a candidate that can't reach it any more leaves."""
+        need = -(-percent * (sizes[x] + sizes[others]) // (100 + percent))
+        at, counts = np.arange(len(others)), counts.copy()
+        for k in range(0, len(long), PROBED_LISTS):
+            at = at[counts[at] + len(long) - k >= need[at]]
+            if not len(at):
+                break
+            probes = long[k : k + PROBED_LISTS, None] * len(order) + others[at]
+            place = np.minimum(np.searchsorted(postings, probes), len(postings) - 1)
+            counts[at] += (postings[place] == probes).sum(0)
+        return counts >= need
+
     for x in range(len(order)):
         mine = list_of[ends[x] - sizes[x] : ends[x]]
         shared = mine[length[mine] > 1]
@@ -135,22 +152,30 @@ def search(ids: list[int], sets: list[np.ndarray], percent: int, sides: list[int
         edge = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
         others, counts = found[edge], np.diff(np.append(edge, len(found)))
         # A set of b shingles needs more than T when b is larger than its least; sizes below percent can't link.
-        fits = (counts >= need - n_long) & linked(sizes[others], int(sizes[x]), sizes[others], percent)
+        fits = (counts >= need - n_long) & linked(sizes[others], int(sizes[x]), sizes[others], percent) & (named[others] != named[x])
         if side is not None:
             fits &= side[others] != side[x]
         others, counts = others[fits], counts[fits]
-        for k in np.argsort(-counts, kind="stable").tolist():
-            y = int(others[k])
-            if named[x] == named[y] or not every and find(parent, named[x]) == find(parent, named[y]):
-                continue
-            total = int(counts[k])
-            if n_long:
-                probes = long * len(order) + y
-                place = np.searchsorted(postings, probes)
-                total += int((postings[np.minimum(place, len(postings) - 1)] == probes).sum())
-            if linked(total, int(sizes[x]), int(sizes[y]), percent):
-                unite(parent, named[x], named[y])
-                yield named[x], named[y]
+        if every:
+            yield from ((int(named[x]), int(named[y])) for y in others[confirmed(x, others, counts, long)])
+            continue
+        # One link joins a whole component, so its likeliest members are probed first, more of them in each turn.
+        turn = 1
+        while True:
+            apart = group[others] != group[x]
+            others, counts = others[apart], counts[apart]
+            if not len(others):
+                break
+            likely = np.lexsort((-counts, group[others]))
+            others, counts = others[likely], counts[likely]
+            opens = np.concatenate(([True], group[others][1:] != group[others][:-1]))
+            rank = np.arange(len(others)) - np.maximum.accumulate(np.where(opens, np.arange(len(others)), 0))
+            now = rank < turn
+            for y in others[now][confirmed(x, others[now], counts[now], long)].tolist():
+                if group[x] != group[y]:
+                    group[group == group[y]] = group[x]
+                    yield int(named[x]), int(named[y])
+            others, counts, turn = others[~now], counts[~now], turn * 4
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
