@@ -12,7 +12,8 @@ label table of the query has one toxicity label and one quality label, which giv
   toxic        toxic text of either kind, or where quality isn't labelled
 Rows where a category's columns are null teach the other categories only.
 Each model is a logistic regression on the presence of hashed terms: whole words (letters only, without case)
-and word beginnings of four and five bytes. A text without any known term gets what the models' offsets say.
+and word beginnings of four and five bytes. A text without any known term gets what the models' offsets say,
+which the sample's documents and one without any term together decide.
 
 The sample is bounded by max_per_class documents of each class of the verdict; terms are taken from their whole texts, and scoring reads whole
 texts: of a very long one a stretch at a time, cut between words (runs of over a megabyte of letters are cut too). Null and empty texts have no
@@ -75,40 +76,50 @@ def _terms(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) >> _U(64 - BITS)).astype(np.int64), np.concatenate(docs)
 
 
-def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed terms of all texts, with the text of each; each once for a text, ascending in (text, term)."""
-    found, held, owner, size = [], [], [], 0
-
-    def close():
-        terms, piece = _terms(held)
-        found.append(np.unique((np.array(owner)[piece] << BITS) + terms))
-
+def _found(texts: list[bytes]):
+    """Hashed terms and their texts, a bounded number of bytes at a time; repeats included."""
+    held, owner, size = [], [], 0
     for i, text in enumerate(texts):
         for piece in stretches(text):
             if held and size + len(piece) > STRETCH:
-                close()
+                terms, at = _terms(held)
+                yield terms, np.array(owner)[at]
                 held, owner, size = [], [], 0
             held.append(piece)
             owner.append(i)
             size += len(piece)
     if held:
-        close()
+        terms, at = _terms(held)
+        yield terms, np.array(owner)[at]
+
+
+def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed terms of all texts, with the text of each; each once for a text, ascending in (text, term)."""
+    found = [np.unique((doc << BITS) + terms) for terms, doc in _found(texts)]
     both = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
     return both & ((1 << BITS) - 1), both >> BITS
 
 
-def presence(chosen: np.ndarray, terms: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
-    """Rows of texts by chosen terms (ascending): 1 where the term is present."""
-    out = np.zeros((rows, len(chosen)), dtype=np.float32)
-    if len(chosen):
-        at = np.minimum(np.searchsorted(chosen, terms), len(chosen) - 1)
-        hit = chosen[at] == terms
+def _marked(out: np.ndarray, chosen: np.ndarray, parts) -> np.ndarray:
+    column = np.full(1 << BITS, -1, dtype=np.int16)
+    column[chosen] = np.arange(len(chosen))
+    for terms, doc in parts:
+        at = column[terms]
+        hit = at >= 0
         out[doc[hit], at[hit]] = 1
     return out
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, rate: float = 0.15, ridge: float = 3e-4) -> np.ndarray:
-    """Adam on the cross-entropy; the weight of a document is the root of what would make both classes weigh the same."""
+def presence(chosen: np.ndarray, terms: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of texts by chosen terms: 1 where the term is present."""
+    return _marked(np.zeros((rows, len(chosen)), dtype=np.float32), chosen, [(terms, doc)])
+
+
+def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, rate: float = 0.15, ridge: float = 3e-4, blank: float = 0.1) -> np.ndarray:
+    """Adam on the cross-entropy; the weight of a document is the root of what would make both classes weigh the same.
+
+    A text without any term is of no category: such a document is added to the sample, with a share `blank` of its weight.
+    """
     theta = np.zeros(x.shape[1] + 1, dtype=np.float32)
     y = y.astype(np.float32)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -120,7 +131,8 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, rate: float =
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-(x @ theta[:-1] + theta[-1])))
         wrong = (p - y) * weight
-        grad = np.append(x.T @ wrong + np.float32(ridge) * theta[:-1], wrong.sum())
+        nothing = np.float32(blank) / (1 + np.exp(-theta[-1]))
+        grad = np.append(x.T @ wrong + np.float32(ridge) * theta[:-1], wrong.sum() + nothing)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return theta
@@ -170,7 +182,7 @@ def score_texts(model: dict, texts: list[bytes]) -> np.ndarray:
     """A column of probabilities for each category, in the chain's order."""
     if "constant" in model:
         return np.tile(np.array(model["constant"]), (len(texts), 1))
-    x = presence(model["chosen"], *terms_of(texts), len(texts))
+    x = _marked(np.zeros((len(texts), len(model["chosen"])), dtype=np.float32), model["chosen"], _found(texts))
     for theta in model["chain"]:
         x = np.hstack((x, _predict(theta, x)[:, None]))
     return x[:, len(model["chosen"]) :].astype(np.float64)
