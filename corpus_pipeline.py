@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.llm import divide_skip, line_crf, line_runs, packing, pfair
-from tapeline.llm.common import scratch_dir, store, table
+from tapeline.llm.common import Scratch, table
 from tapeline.llm.queries import vocabulary
 
 
@@ -45,7 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, place = table(spark, sf_dir, "documents"), scratch_dir(spark)
-    for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), f"{place}/{name}")
+    """The last stage's rows; a stage's table goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES:
+            docs = scratch.keep(stage(spark, docs, sf_dir), name, result=name == STAGES[-1][0])
+            if before is not None:
+                scratch.drop(before)
+            before = name
     return docs
