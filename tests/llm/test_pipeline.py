@@ -1,5 +1,7 @@
 """The pipeline's stages: each on the rows of the one before, all but the last with the columns of documents."""
 
+import pytest
+
 import corpus_pipeline
 from tapeline.llm import packing, queries
 from tapeline.llm.common import scratch_dir, store
@@ -59,6 +61,32 @@ def test_quality_stage_keeps_good_documents(spark):
     assert sum(i in kept for i in good) >= 0.95 * len(good) and sum(i in kept for i in bad) <= 0.35 * len(bad)
 
 
+def test_run_leaves_only_its_result(spark):
+    import os
+
+    place = os.path.dirname(scratch_dir(spark)).removeprefix("file:")
+    before = set(os.listdir(place))
+    found = corpus_pipeline.run(spark, SF)
+    ids = {r.doc_id for r in queries.table(spark, SF, "documents").collect()}
+    assert {r.doc_id for r in found.collect()} <= ids and found.count() > 0
+    # The quality, line and near-duplicate operators leave what their results read until the program ends.
+    left = [os.listdir(f"{place}/{d}") for d in set(os.listdir(place)) - before if d.startswith("tapeline-")]
+    assert ["pack"] in left and not any(n in names for names in left for n in ("quality", "mix", "intake", "rows", "links1"))
+
+
+def test_scratch_off_local_masters():
+    class Away:
+        class sparkContext:  # noqa: N801
+            master = "spark://far:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(RuntimeError):
+        scratch_dir(Away)
+
+
 def test_registered():
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "lines", "near_duplicates", "mix", "pack"] and corpus_pipeline.ORACLE_SQL is None
