@@ -12,13 +12,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
+
 #: ASCII white space of every word and line rule here: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A stored table; texts and vectors of one small file are dealt over all cores."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "embeddings") else found
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -37,7 +41,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def store(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet and read it back: cuts lineage, and survives the loss of executors."""
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
