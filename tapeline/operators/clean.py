@@ -14,6 +14,7 @@ from ..functions.normalize import phrase_key, words_of
 from ..functions.punctuation import strip
 from ..functions.text import milliseconds
 
+# The shortest span, and the shipped limits of signals and gaps.
 MIN_SPAN = 0.1
 
 

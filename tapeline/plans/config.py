@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 
+# The shipped settings.
 @dataclass(frozen=True)
 class Config:
     """Settings of a tagging run. Taking marks away is off: measured, the surest of such merges are the worst."""
