@@ -30,8 +30,10 @@ from .common import BLANKS, Scratch, discard, join_counted
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
 COUNTS = ["n_lines", "n_docs", "max_doc"]
-#: Documents that lose lines, as two numbers each, that may be broadcast: some 5 MB.
-BROADCAST_ROWS = 250_000
+#: Bits of the bitmap of documents that lose lines: 16 for each of them, but no more than this, 32 MB, is broadcast.
+FILTER_BITS = 1 << 28
+#: Bits of one row of that bitmap, as bitmap_construct_agg makes them.
+ROW_BITS = 32_768
 
 
 def line_key(line: Column) -> Column:
@@ -165,22 +167,35 @@ def dropped_places(docs: DataFrame, scratch: Scratch, min_chars: int = 40, min_d
     return scratch.keep(gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("places")), "places", result=True)
 
 
+def _parted(packed: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of packed (id, hash) that are surely not in right (at, of), and all others: those in it and a few besides.
+
+    A bitmap of bounded size over a hash of both numbers tells them apart. A row whose bit another one has set is among the others, so a full
+    bitmap costs moves, not results.
+    """
+    bits = min(FILTER_BITS, 16 * max(right.count(), 1))
+    spot = lambda a, b: F.pmod(F.xxhash64(F.col(a), F.col(b)), F.lit(bits))
+    part = lambda df: df.withColumns({"part": F.floor(F.col("spot") / ROW_BITS), "bit": F.col("spot") % ROW_BITS}).drop("spot")
+    # Dealt by row first: bitmaps made before a shuffle would be one of each row for every task.
+    bitmap = part(right.select(spot("at", "of").alias("spot"))).repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    probed = part(packed.withColumn("spot", spot("id", "hash"))).join(F.broadcast(bitmap), "part", "left")
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    found = F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))
+    return probed.where(~found).select(*packed.columns), probed.where(found).select(*packed.columns)
+
+
 def _with_kept(docs: DataFrame, places: DataFrame) -> DataFrame:
     """row (a struct of the columns of docs), n_lines, n_dropped and kept. Kept lines are slices between dropped places: linear in the text.
 
-    Documents that lose no line stay where they are, if the ids of those that do are few enough to broadcast, which is counted first.
+    Documents that lose no line stay where they are. Those that do are shuffled to their places at any size: a planner that goes by the size of
+    the stored, compressed places would broadcast small ones and move texts only for large ones.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("body"))
     right = places.select(F.col("doc_id").alias("at"), F.col("text_hash").alias("of"), "places")
-    on = lambda df, other: df["id"].eqNullSafe(other["at"]) & (df["hash"] == other["of"])
-    if places.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(right.select("at", "of"))
-        calm = packed.join(ids, on(packed, ids), "left_anti").withColumn("places", F.lit(None).cast("array<int>"))
-        hit = packed.join(ids, on(packed, ids), "left_semi")
-        both = calm.unionByName(hit.join(right, on(hit, right), "left").drop("at", "of"))
-    else:
-        both = packed.join(right, on(packed, right), "left").drop("at", "of")
+    calm, hit = _parted(packed, right)
+    met = hit.join(right.hint("merge"), hit["id"].eqNullSafe(right["at"]) & (hit["hash"] == right["of"]), "left").drop("at", "of")
+    both = calm.withColumn("places", F.lit(None).cast("array<int>")).unionByName(met)
     kept = F.expr(
         """CASE WHEN places IS NULL THEN body ELSE
            element_at(transform(array(split(body, '\\n')), l -> array_join(flatten(zip_with(

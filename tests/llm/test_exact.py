@@ -45,6 +45,27 @@ def test_line_runs(docs, rows, empty):
     assert line_runs.digest(empty).count() == 0
 
 
+def test_line_runs_moves_only_documents_that_lose_lines(spark, docs, monkeypatch):
+    """Documents meet their places in one way at any size; a full bitmap moves more of them and changes nothing."""
+    from pyspark.sql import functions as F
+
+    names = ("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    out = line_runs.digest(docs)
+    want = collected(out, *names)
+    assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+    packed = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
+    many = spark.range(200_000).select(F.col("id"), F.xxhash64("id").alias("hash"), F.lit("x").alias("text")).unionByName(packed)
+    right = many.where("id IS NULL OR id % 4 = 1").select(F.col("id").alias("at"), F.col("hash").alias("of")).distinct()
+    lost = many.where("id IS NULL OR id % 4 = 1").count()
+    calm, hit = line_runs._parted(many, right)
+    assert calm.where("id IS NULL OR id % 4 = 1").count() == 0 and calm.count() + hit.count() == many.count()
+    assert lost <= hit.count() < 1.5 * lost
+    for bits in (1, 8):
+        monkeypatch.setattr(line_runs, "FILTER_BITS", bits)
+        assert line_runs._parted(many, right)[0].count() == 0
+        assert collected(line_runs.digest(docs), *names) == want
+
+
 def test_divergence_counts(docs, rows, empty):
     want = Counter()
     for i, t, *_ in rows:
