@@ -146,7 +146,7 @@ def turn_pairs(spark, sf_dir) -> DataFrame:
     turns = _t(spark, sf_dir, "conversations")
     u = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("ref"))
     a = turns.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
-    return u.join(a, ["conv_id", "turn"]).repartition(2 * spark.sparkContext.defaultParallelism)
+    return u.join(a, ["conv_id", "turn"]).repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 _PAIRS_SQL = "SELECT u.conv_id, u.turn, u.text AS ref, a.text AS hyp FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'"

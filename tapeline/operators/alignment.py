@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,53 +14,102 @@ from pyspark.sql import functions as F
 OPS = "array<struct<op:string,ref_idx:int,hyp_idx:int>>"
 
 
-def align_tokens(ref: list[str], hyp: list[str]) -> list[tuple[str, int | None, int | None]]:
-    """Operations of a cheapest alignment with unit costs.
+#: Cells of the table of costs that are held at once, and pairs whose operations are.
+CELLS, PAIRS = 1 << 20, 256
+KINDS = ("match", "sub", "del", "ins")
+
+
+def _operations(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places in KINDS of a cheapest alignment of two arrays of codes, with unit costs.
 
     Equal tokens always match. Where several ways cost the same, going back from the end, a match goes before a
-    substitution, that before a deletion, that before an insertion. One row of costs is one numpy step: the running
-    minimum of (cost - column) carries insertions along.
+    substitution, that before a deletion, that before an insertion. A row of the table is one numpy step: it holds costs
+    less their column, so that a running minimum carries insertions along. Only the rows that begin a block are kept;
+    going back, one block after the other is computed again, so a long pair never holds the whole table.
     """
-    codes: dict[str, int] = {}
-    a = np.array([codes.setdefault(t, len(codes)) for t in ref], dtype=np.int64)
-    b = np.array([codes.setdefault(t, len(codes)) for t in hyp], dtype=np.int64)
-    columns = np.arange(len(b) + 1)
-    cost = np.empty((len(a) + 1, len(b) + 1), dtype=np.int32)
-    cost[0] = columns
-    for i in range(len(a)):
-        equal = b == a[i]
-        row = np.empty(len(b) + 1, dtype=np.int64)
-        row[0] = i + 1
-        row[1:] = np.minimum(cost[i, 1:], cost[i, :-1]) + 1
-        row[1:][equal] = cost[i, :-1][equal]
-        cost[i + 1] = np.minimum.accumulate(row - columns) + columns
-    out: list[tuple[str, int | None, int | None]] = []
-    i, j = len(a), len(b)
+    n, m = len(a), len(b)
+    step = max(1, CELLS // (m + 1), isqrt(n))
+
+    def below(cost: np.ndarray, i: int, row: np.ndarray) -> np.ndarray:
+        row[0] = cost[0] + 1
+        np.minimum(cost[1:] + 1, cost[:-1], out=row[1:])
+        np.subtract(cost[:-1], 1, out=row[1:], where=b == a[i])
+        return np.minimum.accumulate(row, out=row)
+
+    tops = [np.zeros(m + 1, dtype=np.int32)]
+    for top in range(step, n, step):
+        cost = tops[-1]
+        for i in range(top - step, top):
+            cost = below(cost, i, np.empty_like(cost))
+        tops.append(cost)
+    block = np.empty((min(step, n) + 1, m + 1), dtype=np.int32)
+    at, x, y = block.item, a.tolist(), b.tolist()
+    out: list[int] = []
+    i, j, first = n, m, n
     while i or j:
-        if i and j and a[i - 1] == b[j - 1]:
+        if i and i == first:  # up to a row that begins a block: the block above
+            first = (i - 1) // step * step
+            block[0] = tops.pop()
+            for k in range(first, i):
+                below(block[k - first], k, block[k - first + 1])
+        if i and j and x[i - 1] == y[j - 1]:
             i, j = i - 1, j - 1
-            out.append(("match", i, j))
-        elif i and j and cost[i, j] == cost[i - 1, j - 1] + 1:
+            out.append(0)
+        elif i and j and at(i - first, j) == at(i - 1 - first, j - 1):
             i, j = i - 1, j - 1
-            out.append(("sub", i, j))
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+            out.append(1)
+        elif i and at(i - first, j) == at(i - 1 - first, j) + 1:
             i -= 1
-            out.append(("del", i, None))
+            out.append(2)
         else:
             j -= 1
-            out.append(("ins", None, j))
+            out.append(3)
     return out[::-1]
 
 
+def align_tokens(ref: list[str], hyp: list[str]) -> list[tuple[str, int | None, int | None]]:
+    """Operations of a cheapest alignment of two lists of tokens, with their places in both."""
+    codes: dict[str, int] = {}
+    a, b = (np.array([codes.setdefault(t, len(codes)) for t in side], dtype=np.int64) for side in (ref, hyp))
+    out, i, j = [], 0, 0
+    for k in _operations(a, b):
+        out.append((KINDS[k], None if k == 3 else i, None if k == 2 else j))
+        i, j = i + (k != 3), j + (k != 2)
+    return out
+
+
+def _ends(lists: pa.Array) -> np.ndarray:
+    return np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)]))
+
+
+def _aligned(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+    """Operations of some pairs as one Arrow array, built by columns."""
+    tokens = pa.concat_arrays([refs.flatten(), hyps.flatten()])
+    codes = tokens.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    r, h = _ends(refs), _ends(hyps)
+    done = [np.array(_operations(codes[r[k] : r[k + 1]], codes[r[-1] + h[k] : r[-1] + h[k + 1]]), dtype=np.int8) for k in range(len(refs))]
+    ops = np.concatenate([np.empty(0, dtype=np.int8), *done])
+    sizes = np.array([len(x) for x in done], dtype=np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    ref, hyp = ops != 3, ops != 2
+    # A pair's places begin at 0: less what all pairs before it have.
+    place = lambda on, before: pa.array((np.cumsum(on) - 1 - np.repeat(before, sizes)).astype(np.int32), mask=~on)
+    kinds = pa.array(KINDS, pa.string()).take(pa.array(ops))
+    items = pa.StructArray.from_arrays([kinds, place(ref, r[:-1]), place(hyp, h[:-1])], ["op", "ref_idx", "hyp_idx"])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), items)
+
+
 def align(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", out: str = "ops") -> DataFrame:
-    """pairs with the operations of aligning two token arrays. A null array counts as empty."""
+    """pairs with the operations of aligning two token arrays. A null array counts as empty.
+
+    A batch is taken and given back in pieces, so a worker holds the operations of a few pairs however long its input is.
+    """
     names = [*pairs.columns, out]
-    kind = pa.list_(pa.struct([("op", pa.string()), ("ref_idx", pa.int32()), ("hyp_idx", pa.int32())]))
 
     def run(batches):
         for batch in batches:
-            ops = [[{"op": o, "ref_idx": i, "hyp_idx": j} for o, i, j in align_tokens(r or [], h or [])] for r, h in zip(batch.column(ref).to_pylist(), batch.column(hyp).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ops, kind)], names)
+            for piece in (batch.slice(k, PAIRS) for k in range(0, batch.num_rows, PAIRS)):
+                yield pa.RecordBatch.from_arrays([*piece.columns, _aligned(piece.column(ref), piece.column(hyp))], names)
 
     return pairs.mapInArrow(run, ", ".join(_ddl(f) for f in pairs.schema.fields) + f", {out} {OPS}")
 

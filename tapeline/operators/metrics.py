@@ -50,8 +50,8 @@ def score_pairs(pairs: DataFrame, rules: normalize.Rules = normalize.Rules(), su
     """
     lines = normalize.lines_of_tokens(F.col("ref"), rules, reference=not subtitle)
     made = pairs.withColumns({"ref_lines": lines, "hyp_tokens": normalize.tokens(F.col("hyp"), rules, reference=False)})
-    made = made.withColumn("ref_tokens", F.flatten("ref_lines")).where(F.size("ref_tokens") > 0)
-    out = align(made, "ref_tokens", "hyp_tokens").select("*", *counts(F.col("ops")))
+    # The filter stands behind the alignment: before it, it would be moved to the texts and make their tokens once more.
+    out = align(made.withColumn("ref_tokens", F.flatten("ref_lines")), "ref_tokens", "hyp_tokens").where(F.size("ref_tokens") > 0).select("*", *counts(F.col("ops")))
     four = [F.col(c) for c in COUNTS]
     return out.withColumns({"n_ref": F.size("ref_tokens").cast("long"), "wer": wer(*four), "mer": mer(*four), "cer": cer(F.col("ref_tokens"), F.col("hyp_tokens"))})
 

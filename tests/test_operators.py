@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,3 +260,25 @@ def test_jaccard(spark):
     assert [r[0] for r in df.select(metrics.token_jaccard(F.col("a"), F.col("b"))).collect()] == [1 / 3, 0.0]
     assert math.isinf(spark.range(1).select(clean.isolation(F.lit(1.0), F.lit(2.0), __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("id"))).first()[0])
     assert normalize.Rules().split_hyphens
+
+
+def test_alignment_in_blocks_and_pieces(spark, monkeypatch):
+    rng = random.Random(5)
+    lists = [[rng.choice("abcdef") for _ in range(rng.randint(0, 25))] for _ in range(300)]
+    whole = [alignment.align_tokens(r, h) for r, h in zip(lists, lists[1:])]
+    for cells in (1, 60):
+        monkeypatch.setattr(alignment, "CELLS", cells)
+        assert [alignment.align_tokens(r, h) for r, h in zip(lists, lists[1:])] == whole
+    kind = "i int, r array<string>, h array<string>"
+    df = spark.createDataFrame([(i, r or None, h) for i, (r, h) in enumerate(zip(lists, lists[1:]))] + [(len(whole), ["a", None], [None])], kind).coalesce(1)
+    got = {r.i: [tuple(o) for o in r.ops] for r in alignment.align(df, "r", "h").collect()}
+    assert got == dict(enumerate([*whole, [("del", 0, None), ("match", 1, 0)]]))
+
+    # What crosses back holds a few pairs, however many a partition has.
+    class Frame:
+        columns, schema = df.columns, df.schema
+
+        def mapInArrow(self, run, schema):
+            return [b.num_rows for b in run([pa.RecordBatch.from_pylist([{"i": 0, "r": ["a"], "h": ["b"]}] * 1000)])]
+
+    assert max(alignment.align(Frame(), "r", "h")) <= alignment.PAIRS
