@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import bound
+
 OPS = "array<struct<op:string,ref_idx:int,hyp_idx:int>>"
 
 
@@ -163,10 +165,14 @@ def token_distance(ref: Column, hyp: Column) -> Column:
 
     For texts of at most 35,328 distinct tokens; more are an error, and `align` is for them.
     """
-    vocabulary = F.array_distinct(F.concat(ref, hyp))
-    numbered = F.map_from_arrays(vocabulary, F.transform(vocabulary, lambda _, i: F.decode(F.unhex(F.lpad(F.hex(i + _FIRST_CODE), 4, "0")), "UTF-16BE")))
-    code = lambda tokens: F.array_join(F.transform(tokens, lambda t: F.element_at(numbered, t)), "")
-    return F.when(F.size(vocabulary) > _CODES, F.raise_error(F.lit("too many distinct tokens for token_distance; use align")).cast("int")).otherwise(F.levenshtein(code(ref), code(hyp)))
+    character = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + _FIRST_CODE), 4, "0")), "UTF-16BE")
+    code = lambda tokens, numbered: F.array_join(F.transform(tokens, lambda t: F.element_at(numbered, t)), "")
+
+    def distance(vocabulary: Column) -> Column:
+        numbered = F.map_from_arrays(vocabulary, F.transform(vocabulary, lambda _, i: character(i)))
+        return F.when(F.size(vocabulary) > _CODES, F.raise_error(F.lit("too many distinct tokens for token_distance; use align")).cast("int")).otherwise(bound(numbered, lambda n: F.levenshtein(code(ref, n), code(hyp, n))))
+
+    return bound(F.array_distinct(F.concat(ref, hyp)), distance)
 
 
 def char_distance(a: Column, b: Column) -> Column:

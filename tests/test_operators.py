@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -282,3 +283,11 @@ def test_alignment_in_blocks_and_pieces(spark, monkeypatch):
             return [b.num_rows for b in run([pa.RecordBatch.from_pylist([{"i": 0, "r": ["a"], "h": ["b"]}] * 1000)])]
 
     assert max(alignment.align(Frame(), "r", "h")) <= alignment.PAIRS
+
+
+def test_distance_numbers_a_vocabulary_once(spark):
+    words = [f"w{i}" for i in range(1500)]
+    df = spark.range(20).select(F.array(*(F.lit(w) for w in words)).alias("r"), F.array(*(F.lit(w) for w in words[1:])).alias("h"))
+    began = time.time()
+    assert [r.d for r in df.select(alignment.token_distance(F.col("r"), F.col("h")).alias("d")).collect()] == [1] * 20
+    assert time.time() - began < 30
