@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.punctuation import ends_sentence, strip
 from ..functions.text import milliseconds
@@ -35,30 +37,52 @@ def sentence_ids(words: DataFrame, max_gap: float = 5.0) -> DataFrame:
 
 
 def widest_gap_cuts(starts: list[float], ends: list[float], max_words: int) -> list[int]:
-    """Where to cut a run so that no piece is longer than max_words: always at the widest inner gap, the first of ties."""
-    cuts, open_runs = [], [(0, len(starts))]
+    """Where to cut a run so that no piece is longer than max_words: always at the widest inner gap, the first of ties.
+
+    One pass makes a tree with the widest gap of every stretch above the others in it; the cuts are its top. So the time
+    grows with the run, also where each cut takes off one word.
+    """
+    n, most = len(starts), max(max_words, 1)
+    if n <= most:
+        return []
+    gaps = [start - end for start, end in zip(starts[1:], ends)]
+    left, right, path = [-1] * n, [-1] * n, []
+    for i in range(1, n):
+        last = -1
+        while path and gaps[path[-1] - 1] < gaps[i - 1]:
+            last = path.pop()
+        left[i] = last
+        if path:
+            right[path[-1]] = i
+        path.append(i)
+    cuts, open_runs = [], [(0, n, path[0])]
     while open_runs:
-        a, b = open_runs.pop()
-        if b - a > max(max_words, 1):
-            at = max(range(a + 1, b), key=lambda i: (starts[i] - ends[i - 1], -i))
+        a, b, at = open_runs.pop()
+        if b - a > most:
             cuts.append(at)
-            open_runs += [(a, at), (at, b)]
+            open_runs += [(a, at, left[at]), (at, b, right[at])]
     return sorted(cuts)
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _pieces(starts: pd.Series, ends: pd.Series, most: pd.Series) -> pd.Series:
+    def one(a: np.ndarray, b: np.ndarray, m: int) -> np.ndarray:
+        first = np.zeros(len(a), dtype=np.int32)
+        first[widest_gap_cuts(a.tolist(), b.tolist(), m)] = 1
+        return np.cumsum(first, dtype=np.int32)
+
+    return pd.Series([one(*x) for x in zip(starts, ends, most, strict=True)], dtype=object)
+
+
 def bounded(words: DataFrame, max_words: int = 150) -> DataFrame:
-    """words with `piece` inside their group. Only groups that are too long are cut, one group at a time."""
-    sized = words.withColumn("_n", F.count("*").over(W.partitionBy("file", "group")))
-    short = sized.where(F.col("_n") <= max_words).drop("_n").withColumn("piece", F.lit(0))
-    long = sized.where(F.col("_n") > max_words).drop("_n")
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        cuts = widest_gap_cuts(rows["start"].tolist(), rows["end"].tolist(), max_words)
-        return rows.assign(piece=[sum(c <= i for c in cuts) for i in range(len(rows))])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in long.schema.fields) + ", piece int"
-    return short.unionByName(long.groupBy("file", "group").applyInPandas(cut, schema))
+    """words with `piece` inside their group. Only the times of groups that are too long leave the JVM, many groups in a call."""
+    rest = [c for c in words.columns if c not in ("file", "group")]
+    runs = words.groupBy("file", "group").agg(F.sort_array(F.collect_list(F.struct("pos", *(c for c in rest if c != "pos")))).alias("_w"))
+    too_long = F.size("_w") > max_words
+    times = lambda c: F.when(too_long, F.col(f"_w.{c}").cast("array<double>")).otherwise(F.array().cast("array<double>"))
+    placed = runs.withColumn("_p", _pieces(times("start"), times("end"), F.lit(max_words))).select("file", "group", "_p", F.posexplode("_w").alias("_i", "_x"))
+    piece = F.coalesce(F.get("_p", F.col("_i")), F.lit(0)).alias("piece")
+    return placed.select(*(F.col(c) if c in ("file", "group") else F.col(f"_x.{c}").alias(c) for c in words.columns), piece)
 
 
 def to_sentences(segments: DataFrame, max_gap: float = 5.0, max_words: int = 150) -> DataFrame:

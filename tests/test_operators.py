@@ -291,3 +291,29 @@ def test_distance_numbers_a_vocabulary_once(spark):
     began = time.time()
     assert [r.d for r in df.select(alignment.token_distance(F.col("r"), F.col("h")).alias("d")).collect()] == [1] * 20
     assert time.time() - began < 30
+
+
+def test_widest_gaps_of_a_long_run(spark):
+    def slow(starts, ends, most):
+        cuts, open_runs = [], [(0, len(starts))]
+        while open_runs:
+            a, b = open_runs.pop()
+            if b - a > max(most, 1):
+                at = max(range(a + 1, b), key=lambda i: (starts[i] - ends[i - 1], -i))
+                cuts.append(at)
+                open_runs += [(a, at), (at, b)]
+        return sorted(cuts)
+
+    rng = random.Random(2)
+    for _ in range(300):
+        starts = [i + rng.randint(0, 3) / 2 for i in range(rng.randint(0, 40))]
+        ends = [s + 0.25 for s in starts]
+        most = rng.randint(0, 9)
+        assert sentences.widest_gap_cuts(starts, ends, most) == slow(starts, ends, most)
+    # Pauses that grow: every cut takes one word off the end.
+    n = 30_000
+    words = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * 1.0 + i * i).alias("start"), (i * 1.0 + i * i + 0.5).alias("end"), F.lit(" w").alias("word"), F.lit(0.5).alias("probability")))
+    one = spark.range(1).select(F.lit("f").alias("file"), F.lit(0).alias("seg"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.lit("w").alias("text"), words.alias("words"))
+    began = time.time()
+    made = sentences.to_sentences(one, max_gap=1e12, max_words=10)
+    assert made.count() == n - 9 and time.time() - began < 30
