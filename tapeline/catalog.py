@@ -45,6 +45,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return readers.spread(found) if name in _TEXTS else found
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Over all cores and in more tasks as data grow: for rows that cost far more to work on than to move, and come in few files or row groups."""
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 _long = lambda c, name: c.cast("long").alias(name)
 
 # --- normalization -------------------------------------------------------------------------------------------------
@@ -139,14 +145,11 @@ def basic_normalizer(spark, sf_dir):
 
 
 def turn_pairs(spark, sf_dir) -> DataFrame:
-    """User turns with the assistant turn after them, as reference and hypothesis.
-
-    Dealt over all cores: aligning costs far more than moving a pair, and small tables end up in one task.
-    """
+    """User turns with the assistant turn after them, as reference and hypothesis."""
     turns = _t(spark, sf_dir, "conversations")
     u = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("ref"))
     a = turns.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
-    return u.join(a, ["conv_id", "turn"]).repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return _dealt(u.join(a, ["conv_id", "turn"]))
 
 
 _PAIRS_SQL = "SELECT u.conv_id, u.turn, u.text AS ref, a.text AS hyp FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'"
@@ -419,7 +422,7 @@ def straddle_runs(spark, sf_dir):
 
 def turn_segments(spark, sf_dir) -> DataFrame:
     """Conversation turns as decoded segments: words of 200 ms every 300 ms; every seventh turn has collapsed times."""
-    c = _t(spark, sf_dir, "conversations")
+    c = _dealt(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     words = normalize.words_of(F.col("text"))
     base = F.col("turn") * 1000.0
     flat = F.col("turn") % 7 == 6
@@ -465,7 +468,7 @@ def repaired_straddles(spark, sf_dir):
 
 
 def turn_words(spark, sf_dir) -> DataFrame:
-    c = _t(spark, sf_dir, "conversations")
+    c = _dealt(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return c.select("conv_id", "turn", F.posexplode(normalize.words_of(F.col("text"))).alias("pos", "word"))
 
 
@@ -493,7 +496,7 @@ def sentence_split(spark, sf_dir):
 
 def paused_segments(spark, sf_dir) -> DataFrame:
     """Each turn as a file of one segment: words of a quarter second, with a pause that grows every fifth word and a long one every 17th."""
-    c = _t(spark, sf_dir, "conversations")
+    c = _dealt(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     at = lambda i: i * 0.5 + F.floor(i / 5) * F.floor(i / 5) * 0.125 + F.floor(i / 17) * 6.0
     one = lambda w, i: F.struct(at(i).alias("start"), (at(i) + 0.25).alias("end"), F.concat(F.lit(" "), w).alias("word"), ((i * 37 + 11) % 128 / 128.0).alias("probability"))
     return c.select(F.concat_ws("#", "conv_id", "turn").alias("file"), F.lit(0).alias("seg"), F.lit(0.0).alias("start"), F.lit(900.0).alias("end"), F.rtrim("text", F.lit(".?!")).alias("text"), F.lit(-0.2).alias("avg_logprob"), F.lit(0.01).alias("no_speech_prob"), F.lit(1.0).alias("compression_ratio"), F.lit(0.0).alias("temperature"), F.transform(normalize.words_of(F.rtrim("text", F.lit(".?!"))), one).alias("words"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeline import catalog
-from tapeline.functions import normalize
+from tapeline.functions import normalize, punctuation
 from tapeline.operators import alignment, bootstrap, clean, metrics, pairing, reports, sentences, translation
 from tapeline.schema import SEGMENT
 
@@ -317,3 +317,19 @@ def test_widest_gaps_of_a_long_run(spark):
     began = time.time()
     made = sentences.to_sentences(one, max_gap=1e12, max_words=10)
     assert made.count() == n - 9 and time.time() - began < 30
+
+
+def test_words_are_dealt_whatever_the_files(spark, tmp_path):
+    rows = spark.createDataFrame([(i, 0, "user", f"word {i}. and more") for i in range(40)], "conv_id long, turn long, role string, text string")
+    rows.coalesce(2).write.parquet(f"{tmp_path}/conversations.parquet")
+    least = 2 * spark.sparkContext.defaultParallelism
+    for made in (catalog.turn_words, catalog.turn_segments, catalog.paused_segments):
+        assert made(spark, str(tmp_path)).rdd.getNumPartitions() >= least
+    assert catalog.turn_words(spark, str(tmp_path)).count() == 160
+
+
+def test_white_space_of_every_script_is_stripped(spark):
+    white = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    df = spark.createDataFrame([(c, f"{c}a {c}b.{c}") for c in white], "c string, t string")
+    for r in df.select("c", punctuation.strip(F.col("t")).alias("s"), punctuation.affixes(F.col("t")).alias("a")).collect():
+        assert r.s == f"a {r.c}b." and tuple(r.a) == (r.c, f"a {r.c}b", ".")
