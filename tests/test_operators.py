@@ -333,3 +333,22 @@ def test_white_space_of_every_script_is_stripped(spark):
     df = spark.createDataFrame([(c, f"{c}a {c}b.{c}") for c in white], "c string, t string")
     for r in df.select("c", punctuation.strip(F.col("t")).alias("s"), punctuation.affixes(F.col("t")).alias("a")).collect():
         assert r.s == f"a {r.c}b." and tuple(r.a) == (r.c, f"a {r.c}b", ".")
+
+
+def test_large_groups_are_drawn_whole(spark):
+    n, seed = 40_000, 1234
+    ids = F.col("id")
+    df = spark.range(n).orderBy(F.hash("id")).select(F.when(ids % 40 == 0, "small").otherwise("large").alias("k"), "id", (ids % 7).alias("n_sub"), (ids % 4).alias("n_del"), (ids % 3).alias("n_ins"), (ids % 29 + 1).alias("n_match"))
+    began = time.time()
+    got = {(r.k, r.rep): tuple(r[c] for c in metrics.COUNTS) for r in bootstrap.replicates(df, ["k"], ["id"], 2000, seed, 1).collect()}
+    assert time.time() - began < 60 and len(got) == 4000
+    for k, mine in (("small", range(0, n, 40)), ("large", [i for i in range(n) if i % 40])):
+        for rep in (0, 1, 1999):
+            want = [0, 0, 0, 0]
+            for i in range(len(mine)):
+                x = (rep * bootstrap.STEP_R + i * bootstrap.STEP_I + seed + 7_919) % bootstrap.PRIME
+                for _ in range(2):
+                    x = (x * bootstrap.START + 12_345) % bootstrap.PRIME
+                u = mine[x % len(mine)]
+                want = [w + v for w, v in zip(want, (u % 7, u % 4, u % 3, u % 29 + 1))]
+            assert got[k, rep] == tuple(want)
